@@ -50,10 +50,11 @@ def permutation_importance(
             copies.append(moved.select("_i", *features, target, F.lit(f).alias("feature"), F.lit(r).alias("repeat")))
     scored = add_probability(model, union_all(*copies), "probability").withColumn("actual", F.col(target))
     quality = ranking_metrics(scored, ScoreSpec(), ["feature", "repeat"])
-    base = quality.filter(F.col("feature") == "").select("pr_auc").scalar()
-    table = quality.filter(F.col("feature") != "").groupBy("feature").agg(
-        F.avg(base - F.col("pr_auc")).alias("importance_mean"),
-        F.coalesce(F.stddev_pop(base - F.col("pr_auc")), F.lit(0.0)).alias("importance_std"),
+    # One row per feature and repeat; the untouched copy is the baseline.
+    base = F.max(F.when(F.col("feature") == "", F.col("pr_auc"))).over(Window.partitionBy(F.lit(0)))
+    loss = quality.withColumn("_loss", base - F.col("pr_auc")).filter(F.col("feature") != "")
+    table = loss.groupBy("feature").agg(
+        F.avg("_loss").alias("importance_mean"), F.coalesce(F.stddev_pop("_loss"), F.lit(0.0)).alias("importance_std")
     )
     return row_rank(table, "importance_mean", ["feature"])
 

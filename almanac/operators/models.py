@@ -133,7 +133,7 @@ def fit_logistic(
         VectorAssembler(inputCols=inputs, outputCol="features"),
         LogisticRegression(
             featuresCol="features", labelCol=target, weightCol="weight", maxIter=max_iter, regParam=reg,
-            standardization=False, tol=1e-8,
+            standardization=False,
         ),
     ]
     return Pipeline(stages=stages).fit(weighted)

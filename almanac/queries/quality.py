@@ -16,6 +16,7 @@ from almanac.plans.monitoring import POLICY_THRESHOLD
 from almanac.queries import sqlparts as sql
 from almanac.queries.registry import final, query
 from almanac.queries.scored import _RECENT
+from almanac.session import stored
 from almanac.sources.adapters import order_panel, quantity_panel, scored_lines, table
 from almanac.spec import ScoreSpec
 
@@ -36,7 +37,9 @@ _STEPS = "[0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"
 def _drift_rows(spark, directory):
     rows = plans.model_dataset(quantity_panel(spark, directory))
     masked = F.col("entity").isin("Brand#11", "Brand#12") & (F.col("year") >= 2000)
-    return drift.label_periods(rows.withColumn("zscore", F.when(~masked, F.col("zscore"))), "year", 1999, 2000)
+    labelled = drift.label_periods(rows.withColumn("zscore", F.when(~masked, F.col("zscore"))), "year", 1999, 2000)
+    # Quantiles, bins and missing rates each pass over the rows.
+    return stored(labelled.select("period", *NUMERIC, "entity", "month", "season", "condition"), "features")
 
 
 def _psi(name: str, counts: str, keys: str) -> list[str]:
@@ -172,7 +175,8 @@ _MONITORS = [
 
 
 def _monitors(spark, directory):
-    return monitoring.monitors(scored_lines(spark, directory), _drift_rows(spark, directory), NUMERIC)
+    scored = stored(scored_lines(spark, directory).select("year", "actual", "probability"), "scored")
+    return monitoring.monitors(scored, _drift_rows(spark, directory), NUMERIC)
 
 
 @query("monitor_table", final(_MONITORS, "mt", "monitor status details", "", "value"))

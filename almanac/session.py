@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,7 +35,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so lost executors cost no rework."""
+    """Cut lineage by a reliable checkpoint, which keeps partitions and row order."""
     spark = df.sparkSession
     folder = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
@@ -43,17 +43,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_row(df: DataFrame, one_row: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Attach columns of a one-row table as a scalar subquery (no join).
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table once to shared storage and read it back.
 
-    ``columns`` maps the new name to the column of ``one_row``.
+    For tables that several passes read: the passes then scan columns of a file
+    instead of repeating joins and windows, and lost executors cost no rework.
     """
-    packed = one_row.select(
-        F.struct(*[F.col(source).alias(name) for name, source in columns.items()])
-    ).scalar()
-    return df.withColumns({name: packed.getField(name) for name in columns})
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def with_row(df: DataFrame, one_row: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Attach columns of a one-row table as a scalar subquery (no join).
 
-def scalar(df: DataFrame) -> Column:
-    """The value of a one-row, one-column table as a column."""
-    return df.scalar()
+    ``columns`` maps the new name to the column of ``one_row``. The subquery is
+    one column that the others unpack, so it is planned once.
+    """
+    packed = one_row.select(F.struct(*[F.col(source).alias(name) for name, source in columns.items()])).scalar()
+    unpacked = df.withColumn("_row", packed)
+    return unpacked.withColumns({name: F.col("_row")[name] for name in columns}).drop("_row")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.functions.scalar import flag, rate
@@ -10,10 +10,25 @@ from almanac.session import new_path
 from almanac.spec import ScoreSpec
 
 
+def utc_instant(timestamp: Column) -> Column:
+    """A timestamp without zone read as UTC: event time needs an instant."""
+    return F.from_utc_timestamp(timestamp.cast("timestamp"), F.current_timezone())
+
+
+def utc_clock(instant: Column) -> Column:
+    """The UTC wall clock of an instant, whatever the session's zone."""
+    return F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
+
+
 def event_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A table of the folder read as a file stream, schema taken from the file."""
+    """A table of the folder read as a file stream, schema taken from the file.
+
+    Columns without a time zone become instants.
+    """
     schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+    zoneless = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return stream.withColumns({c: utc_instant(F.col(c)) for c in zoneless}) if zoneless else stream
 
 
 def stream_alert_rate(
@@ -38,7 +53,7 @@ def stream_alert_rate(
         )
     )
     return counts.select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), by,
+        utc_clock(F.col("window.start")).alias("window_start"), utc_clock(F.col("window.end")).alias("window_end"), by,
         "observations", "alerts", "events", "maximum_probability",
         rate(F.col("alerts"), F.col("observations")).alias("alert_rate"),
         rate(F.col("events"), F.col("observations")).alias("event_rate"),
