@@ -49,7 +49,7 @@ def fit_sigmoid(df: DataFrame, score: ScoreSpec, c: float = 1.0) -> SigmoidFit:
     total = data.agg(F.sum("weight")).first()[0]
     vectors = VectorAssembler(inputCols=["p"], outputCol="features").transform(data)
     model = LogisticRegression(
-        weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, tol=1e-9, maxIter=200
+        weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, tol=1e-7, maxIter=200
     ).fit(vectors)
     return SigmoidFit(float(model.coefficients[0]), float(model.intercept))
 

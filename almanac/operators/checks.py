@@ -33,7 +33,7 @@ from almanac.spec import ScoreSpec
 PASS, REVIEW, FAIL = "PASS", "REVIEW", "FAIL"
 CHECK_COLUMNS = ["section", "check", "status", "value", "details"]
 
-# How many offending values a check spells out; further ones are counted.
+# How many offending values a check spells out.
 _LISTED = 50
 
 
@@ -81,12 +81,14 @@ def _when(condition: Column, otherwise: str = FAIL) -> Column:
 
 
 def _listing(values: DataFrame, column: str) -> Column:
-    """Distinct values as text: the first ones spelled out, the rest counted."""
+    """Distinct values as text: the first ones spelled out, further ones hinted at.
+
+    The values are a top-k of the distinct ones, so nothing unbounded is gathered.
+    """
     distinct = values.select(F.col(column).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    shown = distinct.orderBy("_v").limit(_LISTED).agg(F.sort_array(F.collect_list("_v")).alias("a"))
-    text = shown.select(F.concat_ws(", ", F.col("a").cast("array<string>"))).scalar()
-    more = distinct.agg(F.count(F.lit(1)) - _LISTED).scalar()
-    return F.concat(text, F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+    first = distinct.orderBy("_v").limit(_LISTED + 1).agg(F.sort_array(F.collect_list("_v")).alias("a"))
+    text = F.concat_ws(", ", F.slice("a", 1, _LISTED).cast("array<string>"))
+    return first.select(F.concat(text, F.when(F.size("a") > _LISTED, " and more").otherwise(""))).scalar()
 
 
 def missing_rates(df: DataFrame) -> DataFrame:
@@ -96,10 +98,11 @@ def missing_rates(df: DataFrame) -> DataFrame:
 
 
 def worst_missing(df: DataFrame) -> DataFrame:
-    """The column of highest missing rate; the first name wins a tie."""
+    """The column of highest missing rate; the first column wins a tie."""
+    position = {c: i for i, c in enumerate(df.columns)}
+    order = F.coalesce(*[F.when(F.col("column") == c, F.lit(-i)) for c, i in position.items()])
     return missing_rates(df).agg(
-        F.max("missing_rate").alias("maximum_rate"),
-        F.max_by("column", F.struct(F.col("missing_rate"), -F.length("column"), F.col("column"))).alias("worst_column"),
+        F.max("missing_rate").alias("maximum_rate"), F.max_by("column", F.struct(F.col("missing_rate"), order)).alias("worst_column")
     )
 
 
@@ -200,107 +203,151 @@ def key_checks(name: str, df: DataFrame, keys: Sequence[str], month: str, strict
     )
 
 
+@dataclass(frozen=True)
+class Family:
+    """Checks answered by global aggregates: the facts, and the rows made of them."""
+
+    facts: list[Column]
+    rows: list[Column]
+
+
+def one_pass(df: DataFrame, *families: Family) -> DataFrame:
+    """Check rows of several families from a single scan of the table."""
+    facts = df.agg(*[f for family in families for f in family.facts])
+    return _rows(facts, *[r for family in families for r in family.rows])
+
+
+def temporal_family(name: str, year: str = "year") -> Family:
+    y = F.col(year).try_cast("int")
+    ok = F.col("_bad_years") == 0
+    span = F.when(ok, F.concat_ws("-", F.col("_first_year").cast("string"), F.col("_last_year").cast("string"))).otherwise("")
+    return Family(
+        [F.count_if(~valid_year(y)).alias("_bad_years"), F.min(y).alias("_first_year"), F.max(y).alias("_last_year")],
+        [
+            _row("TEMPORAL", f"{name} YEAR VALIDITY", _when(ok), F.col("_bad_years")),
+            _row("TEMPORAL", f"{name} YEAR RANGE", _when(ok), span),
+        ],
+    )
+
+
 def temporal_checks(name: str, df: DataFrame, year: str = "year") -> DataFrame:
     """Years within the valid range, and the range found."""
-    y = F.col(year).try_cast("int")
-    facts = df.agg(F.count_if(~valid_year(y)).alias("invalid"), F.min(y).alias("lo"), F.max(y).alias("hi"))
-    ok = F.col("invalid") == 0
-    span = F.when(ok, F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string"))).otherwise("")
-    return _rows(
-        facts,
-        _row("TEMPORAL", f"{name} YEAR VALIDITY", _when(ok), F.col("invalid")),
-        _row("TEMPORAL", f"{name} YEAR RANGE", _when(ok), span),
+    return one_pass(df, temporal_family(name, year))
+
+
+def month_family(df: DataFrame, month: str = "month") -> Family:
+    m = normalize_month(F.col(month), keep_invalid=True)
+    listed = _listing(df.select(m.alias("_m")).filter(~valid_month(F.col("_m"))), "_m")
+    ok = F.col("_bad_months") == 0
+    return Family(
+        [
+            F.count(F.lit(1)).alias("_month_rows"),
+            F.count_if(~valid_month(m)).alias("_bad_months"),
+            F.count_if(m == 0).alias("_zero_months"),
+        ],
+        [
+            _row("MONTH", "INVALID MONTH COUNT", _when(ok), F.col("_bad_months")),
+            _row("MONTH", "INVALID MONTH RATE", _when(ok), _fixed(rate(F.col("_bad_months"), F.col("_month_rows")))),
+            _row("MONTH", "INVALID MONTH VALUES", _when(ok), listed),
+            _row("MONTH", "MONTH ZERO RECORDS", _when(F.col("_zero_months") == 0), F.col("_zero_months")),
+        ],
     )
 
 
 def month_checks(df: DataFrame, month: str = "month") -> DataFrame:
     """Invalid months: count, rate, values and zeros."""
-    m = normalize_month(F.col(month), keep_invalid=True)
-    marked = df.select(m.alias("_m"))
-    facts = marked.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(~valid_month(F.col("_m"))).alias("invalid"),
-        F.count_if(F.col("_m") == 0).alias("zeros"),
-    )
-    listed = _listing(marked.filter(~valid_month(F.col("_m"))), "_m")
-    ok = F.col("invalid") == 0
-    return _rows(
-        facts,
-        _row("MONTH", "INVALID MONTH COUNT", _when(ok), F.col("invalid")),
-        _row("MONTH", "INVALID MONTH RATE", _when(ok), _fixed(rate(F.col("invalid"), F.col("rows")))),
-        _row("MONTH", "INVALID MONTH VALUES", _when(ok), listed),
-        _row("MONTH", "MONTH ZERO RECORDS", _when(F.col("zeros") == 0), F.col("zeros")),
-    )
+    return one_pass(df, month_family(df, month))
 
 
-def season_checks(df: DataFrame, month: str = "month", column: str = "season", calendar: SeasonCalendar = CALENDAR_B) -> DataFrame:
-    """Unknown seasons, values outside the domain, seasons that contradict the month."""
+def season_family(month: str = "month", column: str = "season", calendar: SeasonCalendar = CALENDAR_B) -> Family:
     existing = F.upper(F.trim(F.coalesce(F.col(column), F.lit(UNKNOWN))))
     derived = season(normalize_month(F.col(month)), calendar)
-    facts = df.agg(
-        F.count_if(existing == UNKNOWN).alias("unknown"),
-        F.count_if(~existing.isin(*SEASONS)).alias("outside"),
-        F.count_if(existing != derived).alias("inconsistent"),
+    return Family(
+        [
+            F.count_if(existing == UNKNOWN).alias("_unknown_seasons"),
+            F.count_if(~existing.isin(*SEASONS)).alias("_other_seasons"),
+            F.count_if(existing != derived).alias("_wrong_seasons"),
+        ],
+        [
+            _row("SEASON", check, _when(F.col(c) == 0), F.col(c))
+            for check, c in [
+                ("UNKNOWN SEASONS", "_unknown_seasons"), ("SEASON DOMAIN", "_other_seasons"),
+                ("MONTH SEASON CONSISTENCY", "_wrong_seasons"),
+            ]
+        ],
     )
-    return _rows(
-        facts,
-        _row("SEASON", "UNKNOWN SEASONS", _when(F.col("unknown") == 0), F.col("unknown")),
-        _row("SEASON", "SEASON DOMAIN", _when(F.col("outside") == 0), F.col("outside")),
-        _row("SEASON", "MONTH SEASON CONSISTENCY", _when(F.col("inconsistent") == 0), F.col("inconsistent")),
+
+
+def season_checks(df: DataFrame, month: str = "month", column: str = "season", calendar: SeasonCalendar = CALENDAR_B) -> DataFrame:
+    """Unknown seasons, values outside the domain, seasons that contradict the month."""
+    return one_pass(df, season_family(month, column, calendar))
+
+
+def missing_family(name: str, columns: Sequence[str]) -> Family:
+    facts = [F.avg(F.col(c).isNull().cast("int")).alias(f"_missing_{i}") for i, c in enumerate(columns)]
+    top = F.array_max(F.array(*[F.coalesce(F.col(f"_missing_{i}"), F.lit(0.0)) for i in range(len(columns))]))
+    worst = F.coalesce(*[F.when(F.col(f"_missing_{i}") == top, F.lit(c)) for i, c in enumerate(columns)])
+    row = _row(
+        "MISSING VALUES", f"{name} MISSING VALUE RATE", _when(top == 0, REVIEW), _fixed(top),
+        F.when(top > 0, worst).otherwise(""),
     )
+    return Family(facts, [row])
 
 
 def missing_checks(name: str, df: DataFrame) -> DataFrame:
     """Highest missing rate of any column; missing values ask for review only."""
-    return _rows(
-        worst_missing(df),
-        _row(
-            "MISSING VALUES", f"{name} MISSING VALUE RATE", _when(F.col("maximum_rate") == 0, REVIEW),
-            _fixed(F.col("maximum_rate")), F.when(F.col("maximum_rate") > 0, F.col("worst_column")).otherwise(""),
-        ),
+    return one_pass(df, missing_family(name, df.columns))
+
+
+def probability_family(column: str) -> Family:
+    section, p = "PROBABILITY", F.col(column).try_cast("double")
+    return Family(
+        [
+            F.count_if(p.isNull()).alias("_null_p"),
+            F.count_if(p.isNotNull() & ~valid_probability(p)).alias("_outside_p"),
+            F.min(p).alias("_min_p"), F.max(p).alias("_max_p"),
+        ],
+        [
+            _row(section, "PROBABILITY COLUMN", F.lit(PASS), column),
+            _row(section, "PROBABILITY NULL", _when(F.col("_null_p") == 0), F.col("_null_p")),
+            _row(section, "PROBABILITY RANGE", _when(F.col("_outside_p") == 0), F.col("_outside_p")),
+            _row(section, "PROBABILITY MINIMUM", F.lit(PASS), _fixed(F.col("_min_p"))),
+            _row(section, "PROBABILITY MAXIMUM", F.lit(PASS), _fixed(F.col("_max_p"))),
+        ],
     )
 
 
 def probability_checks(df: DataFrame, column: str) -> DataFrame:
     """Probability present, not null, within 0..1, with its range."""
-    section = "PROBABILITY"
     if column not in df.columns:
-        return _rows(df.sparkSession.range(1), _row(section, "PROBABILITY COLUMN", F.lit(FAIL), "", "Column missing"))
-    p = F.col(column).try_cast("double")
-    facts = df.agg(
-        F.count_if(p.isNull()).alias("nulls"),
-        F.count_if(p.isNotNull() & ~valid_probability(p)).alias("outside"),
-        F.min(p).alias("lo"), F.max(p).alias("hi"),
-    )
-    return _rows(
-        facts,
-        _row(section, "PROBABILITY COLUMN", F.lit(PASS), column),
-        _row(section, "PROBABILITY NULL", _when(F.col("nulls") == 0), F.col("nulls")),
-        _row(section, "PROBABILITY RANGE", _when(F.col("outside") == 0), F.col("outside")),
-        _row(section, "PROBABILITY MINIMUM", F.lit(PASS), _fixed(F.col("lo"))),
-        _row(section, "PROBABILITY MAXIMUM", F.lit(PASS), _fixed(F.col("hi"))),
-    )
+        return _rows(df.sparkSession.range(1), _row("PROBABILITY", "PROBABILITY COLUMN", F.lit(FAIL), "", "Column missing"))
+    return one_pass(df, probability_family(column))
 
 
-def policy_checks(df: DataFrame, probability: str, threshold: str, alert: str, alert_range: tuple[float, float] = ALERT_RATE_RANGE) -> DataFrame:
-    """Threshold valid, alerts equal p >= threshold, alert rate within range."""
+def policy_family(probability: str, threshold: str, alert: str, alert_range: tuple[float, float] = ALERT_RATE_RANGE) -> Family:
     t = F.col(threshold)
     expected = flag(F.col(probability) >= t)
     found = F.coalesce(F.col(alert).cast("int"), F.lit(-999))
-    facts = df.agg(
-        F.count_if(~valid_probability(t)).alias("bad_threshold"),
-        F.count_if(expected != found).alias("errors"),
-        F.avg(found).alias("alert_rate"),
-    )
-    lo, hi = alert_range
-    return _rows(
-        facts,
-        _row("POLICY", "POLICY THRESHOLD", _when(F.col("bad_threshold") == 0), f"column={probability}"),
-        _row("POLICY", "POLICY ALERT CONSISTENCY", _when(F.col("errors") == 0), F.col("errors")),
-        _row("POLICY", "ALERT RATE", _when(F.col("alert_rate").between(lo, hi), REVIEW), _fixed(F.col("alert_rate"))),
+    alert_rate = F.col("_alert_rate")
+    return Family(
+        [
+            F.count_if(~valid_probability(t)).alias("_bad_threshold"),
+            F.count_if(expected != found).alias("_alert_errors"),
+            F.avg(found).alias("_alert_rate"),
+        ],
+        [
+            _row("POLICY", "POLICY THRESHOLD", _when(F.col("_bad_threshold") == 0), f"column={probability}"),
+            _row("POLICY", "POLICY ALERT CONSISTENCY", _when(F.col("_alert_errors") == 0), F.col("_alert_errors")),
+            _row("POLICY", "ALERT RATE", _when(alert_rate.between(*alert_range), REVIEW), _fixed(alert_rate)),
+        ],
     )
 
 
+def policy_checks(df: DataFrame, probability: str, threshold: str, alert: str, alert_range: tuple[float, float] = ALERT_RATE_RANGE) -> DataFrame:
+    """Threshold valid, alerts equal p >= threshold, alert rate within range."""
+    return one_pass(df, policy_family(probability, threshold, alert, alert_range))
+
+
 def performance_gates(df: DataFrame, score: ScoreSpec, threshold: float | Column, gates: Gates = GATES) -> DataFrame:
     """Model quality against its limits."""
     facts = metrics_by(df, score, threshold, [], ranking=True)

@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.operators.joins import null_safe_join
+
 # Linear buckets for probabilities: at most 2**20 per group.
 _SCORE_BUCKETS = 1 << 20
 # Logarithmic buckets for other values: 16384 per e-fold of magnitude.
@@ -59,7 +61,7 @@ def prefix_sums(
     )
     order = F.col(value).desc() if descending else F.col(value).asc()
     within = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = placed.join(offsets, [*keys, "_bucket"])
+    joined = null_safe_join(placed, offsets, keys, equal=["_bucket"])
     return joined.withColumns(
         {f"{s}_before": F.col(f"_{s}_offset") + F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sums}
     ).drop("_bucket", *[f"_{s}_offset" for s in sums])
@@ -111,7 +113,7 @@ def quantiles(
     if bounded_keys:
         hits = F.broadcast(hits)
     counts = (
-        placed.join(hits, [*keys, "_bucket"])
+        null_safe_join(placed, hits, keys, equal=["_bucket"])
         .groupBy(*keys, "_bucket", "_offset", "_total", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )

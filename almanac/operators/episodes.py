@@ -36,7 +36,7 @@ def episode_length(df: DataFrame, spec: PanelSpec, flag: str = "is_dry", min_len
     ``running_length`` counts only up to the row.
     """
     island = Window.partitionBy(spec.entity, "episode_id")
-    so_far = island.orderBy("month_index").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = island.orderBy(spec.year, spec.month_no).rowsBetween(Window.unboundedPreceding, 0)
     sized = df.withColumns(
         {
             "dry_episode_length": F.sum(flag).over(island).cast("int"),

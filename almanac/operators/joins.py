@@ -77,6 +77,20 @@ def lookup_left(df: DataFrame, lookup: DataFrame, keys: Sequence[str], columns:
     return df.join(right, list(keys), "left")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", equal: Sequence[str] = ()) -> DataFrame:
+    """Join in which NULL keys match each other: a missing slice value is a slice.
+
+    ``equal`` names further keys that are never NULL.
+    """
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in [*keys, *equal]})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    for k in equal:
+        condition = condition & (F.col(k) == F.col(f"_right_{k}"))
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in [*keys, *equal]])
+
+
 def semi_filter(df: DataFrame, keys_df: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key occurs in the other table."""
     return df.join(keys_df.select(*on), list(on), "left_semi")

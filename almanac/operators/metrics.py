@@ -60,6 +60,30 @@ def score_counts(df: DataFrame, score: ScoreSpec, by: Sequence[str] = ()) -> Dat
     )
 
 
+def _placed(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    return prefix_sums(counts, by, "_score", ["pos", "neg"], bucket=score_bucket, descending=True)
+
+
+def _ranking_aggregates(usable: Column) -> list[Column]:
+    """Sums over distinct scores from which both ranking metrics follow."""
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    hits = F.col("pos_before") + pos
+    return [
+        F.sum(F.when(usable, F.col("pos"))).cast("double").alias("_p"),
+        F.sum(F.when(usable, F.col("neg"))).cast("double").alias("_n"),
+        F.sum(F.when(usable, F.try_divide(pos * hits, hits + F.col("neg_before") + neg))).alias("_ap"),
+        F.sum(F.when(usable, pos * (F.col("neg_before") + neg / 2))).alias("_above"),
+    ]
+
+
+def _ranking_columns() -> dict[str, Column]:
+    both = (F.col("_p") > 0) & (F.col("_n") > 0)
+    return {
+        "pr_auc": F.when(both, F.col("_ap") / F.col("_p")),
+        "roc_auc": F.when(both, 1 - F.col("_above") / (F.col("_p") * F.col("_n"))),
+    }
+
+
 def ranking_metrics(df: DataFrame, score: ScoreSpec, by: Sequence[str] = ()) -> DataFrame:
     """Average precision and ROC-AUC with tied scores grouped; NULL for one class.
 
@@ -67,24 +91,8 @@ def ranking_metrics(df: DataFrame, score: ScoreSpec, by: Sequence[str] = ()) ->
     gained times the precision there. ROC-AUC counts the negatives ranked below
     each positive, ties as one half.
     """
-    counts = score_counts(df, score, by)
-    placed = prefix_sums(counts, by, "_score", ["pos", "neg"], bucket=score_bucket, descending=True)
-    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    hits = F.col("pos_before") + pos
-    above = F.col("neg_before") + neg / 2
-    sums = placed.groupBy(*by).agg(
-        F.sum("pos").alias("_p"),
-        F.sum("neg").alias("_n"),
-        F.sum(pos * hits / (hits + F.col("neg_before") + neg)).alias("_ap"),
-        F.sum(pos * above).alias("_above"),
-    )
-    p, n = F.col("_p").cast("double"), F.col("_n").cast("double")
-    both = (p > 0) & (n > 0)
-    return sums.select(
-        *by,
-        F.when(both, F.col("_ap") / p).alias("pr_auc"),
-        F.when(both, 1 - F.col("_above") / (p * n)).alias("roc_auc"),
-    )
+    sums = _placed(score_counts(df, score, by), by).groupBy(*by).agg(*_ranking_aggregates(F.lit(True)))
+    return sums.withColumns(_ranking_columns()).select(*by, "pr_auc", "roc_auc")
 
 
 def average_precision(df: DataFrame, score: ScoreSpec, by: Sequence[str] = ()) -> DataFrame:
@@ -110,9 +118,11 @@ def metrics_by(
 ) -> DataFrame:
     """All threshold metrics per slice with mean and maximum probability.
 
-    ``ranking`` adds average precision and ROC-AUC. A slice value of NULL is a
-    slice of its own, which is why the join is null-safe.
+    ``ranking`` adds average precision and ROC-AUC; the threshold is then a number.
+    A slice value of NULL is a slice of its own.
     """
+    if ranking:
+        return _metrics_with_ranking(df, score, float(threshold), by)
     p = F.col(score.probability)
     alerted = F.coalesce(p >= threshold, F.lit(False))
     counts = df.groupBy(*by).agg(
@@ -121,15 +131,37 @@ def metrics_by(
         F.max(p).alias("maximum_probability"),
         brier_aggregate(score),
     )
-    table = binary_metrics(counts)
-    if not ranking:
-        return table
-    ranked = ranking_metrics(df, score, by)
-    if not by:
-        # Both sides are one row.
-        return table.withColumn("_one", F.lit(1)).join(ranked.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    right = ranked.withColumnsRenamed({c: f"_{c}" for c in by})
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return table.join(right, same, "left").drop(*[f"_{c}" for c in by])
+    return binary_metrics(counts)
+
+
+def _metrics_with_ranking(df: DataFrame, score: ScoreSpec, threshold: float, by: Sequence[str]) -> DataFrame:
+    """One scan for everything: rows become counts per distinct score first.
+
+    A missing probability is kept as score -1: it never alerts and ranks last, so
+    it counts in the confusion table and leaves the ranking metrics alone.
+    """
+    y, s = F.col(score.actual), F.col("_score")
+    counts = df.groupBy(*by, F.coalesce(F.col(score.probability).cast("double"), F.lit(-1.0)).alias("_score")).agg(
+        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), F.count(F.lit(1)).alias("_rows")
+    )
+    known = s >= 0
+    alerted = s >= threshold
+    weighed = F.when(known, F.col("_rows"))
+    gaps = F.when(known, F.col("pos") * (1 - s) * (1 - s) + F.col("neg") * s * s)
+    judged = F.when(known, F.col("pos") + F.col("neg"))
+
+    def total(condition: Column, column: str) -> Column:
+        return F.sum(F.when(condition, F.col(column)).otherwise(0))
+
+    sums = _placed(counts, by).groupBy(*by).agg(
+        total(alerted, "pos").alias("true_positive"),
+        total(alerted, "neg").alias("false_positive"),
+        total(~alerted, "pos").alias("false_negative"),
+        total(~alerted, "neg").alias("true_negative"),
+        F.try_divide(F.sum(weighed * s), F.sum(weighed)).alias("average_probability"),
+        F.min(F.when(known, s)).alias("minimum_probability"),
+        F.max(F.when(known, s)).alias("maximum_probability"),
+        F.try_divide(F.sum(gaps), F.sum(judged)).alias("brier_score"),
+        *_ranking_aggregates(known),
+    )
+    return binary_metrics(sums).withColumns(_ranking_columns()).drop("_p", "_n", "_ap", "_above")

@@ -198,15 +198,11 @@ def stamp(df: DataFrame, model_version: str, probability_type: str, target: str)
 def apply_policy(df: DataFrame, slope: Column | float, intercept: Column | float, threshold: Column | float) -> DataFrame:
     """Raw probability to calibrated probability, alert and level."""
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    calibrated = df.withColumn("sigmoid_probability", sigmoid(F.col("raw_probability"), slope, intercept))
-    p = F.col("sigmoid_probability")
-    return calibrated.withColumns(
-        {
-            "policy_threshold": limit,
-            "risk_alert": alert(p, limit).cast("boolean"),
-            "risk_level": inference_level(p, limit),
-        }
+    calibrated = df.withColumns(
+        {"sigmoid_probability": sigmoid(F.col("raw_probability"), slope, intercept), "policy_threshold": limit}
     )
+    p, t = F.col("sigmoid_probability"), F.col("policy_threshold")
+    return calibrated.withColumns({"risk_alert": alert(p, t).cast("boolean"), "risk_level": inference_level(p, t)})
 
 
 def score_batch(

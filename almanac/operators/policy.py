@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions.levels import alert, confusion_label, policy_level
 from almanac.operators.joins import apply_season_threshold, union_all
-from almanac.operators.metrics import binary_metrics, brier_aggregate, confusion, ranking_metrics
+from almanac.operators.metrics import binary_metrics, confusion, metrics_by
 from almanac.operators.ranking import best_row
 from almanac.operators.sweep import Grid, GridList, threshold_sweep
 from almanac.session import with_row
@@ -126,17 +126,11 @@ def model_comparison(df: DataFrame, actual: str, columns: Sequence[str]) -> Data
     long = df.select(actual, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [actual], list(columns), "probability_type", "probability"
     )
-    score = ScoreSpec(actual=actual)
-    quality = long.groupBy("probability_type").agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.sum(actual).alias("events"),
-        F.avg(actual).alias("event_rate"),
-        brier_aggregate(score),
-        F.avg("probability").alias("mean_probability"),
-        F.min("probability").alias("minimum_probability"),
-        F.max("probability").alias("maximum_probability"),
+    table = metrics_by(long, ScoreSpec(actual=actual), FALLBACK_THRESHOLD, ["probability_type"], ranking=True)
+    return table.select(
+        "probability_type", "observations", "events", "event_rate", "pr_auc", "roc_auc", "brier_score",
+        F.col("average_probability").alias("mean_probability"), "minimum_probability", "maximum_probability",
     )
-    return quality.join(ranking_metrics(long, score, ["probability_type"]), "probability_type", "left")
 
 
 def choose_calibration(quality: DataFrame, kind: str = "probability_type") -> DataFrame:

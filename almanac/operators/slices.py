@@ -11,7 +11,7 @@ from almanac.functions.calendar import period_thirds, valid_month
 from almanac.functions.levels import DEPLOYMENT_ORDER, deployment_level
 from almanac.functions.scalar import flag, rate
 from almanac.operators.distribution import quantile_columns, quantiles
-from almanac.operators.joins import union_all
+from almanac.operators.joins import null_safe_join, union_all
 from almanac.operators.metrics import COUNTS, binary_metrics, confusion_aggregates, metrics_by
 from almanac.operators.ranking import dense_rank_by
 from almanac.session import with_row
@@ -69,7 +69,7 @@ def slice_summary(df: DataFrame, score: ScoreSpec, threshold: float, by: str, ra
 
 def monitored_slices(df: DataFrame, score: ScoreSpec, threshold: float, by: str) -> DataFrame:
     """Slice metrics with ranking quality and a warning for small slices."""
-    table = metrics_by(df, score, threshold, [by], ranking=True)
+    table = metrics_by(df, score, threshold, [by], ranking=True).drop("minimum_probability")
     return table.withColumn("sample_warning", F.when(F.col("observations") < MIN_GROUP_SIZE, "SMALL_SAMPLE").otherwise(""))
 
 
@@ -212,7 +212,7 @@ def alert_stability(df: DataFrame, score: ScoreSpec, threshold: float, by: str =
         F.max(p).alias("maximum_probability"),
     ).withColumn("alert_rate", rate(F.col("alerts"), F.col("observations")))
     p95 = quantile_columns(df, [by], score.probability, {"p95_probability": 0.95}).drop("n")
-    return table.join(p95, by, "left")
+    return null_safe_join(table, p95, [by], "left")
 
 
 def target_drift(df: DataFrame, score: ScoreSpec, threshold: float, by: str = "year") -> DataFrame:

@@ -49,11 +49,14 @@ def quality_checks(deployed: DataFrame, score: ScoreSpec, keys: Sequence[str]) -
     """All checks on a deployed table."""
     return union_all(
         checks.key_checks("DEPLOYMENT", deployed, keys, score.month, strict=True),
-        checks.temporal_checks("DEPLOYMENT", deployed, score.year),
-        checks.month_checks(deployed, score.month),
-        checks.season_checks(deployed, score.month, score.season),
-        checks.missing_checks("DEPLOYMENT", deployed),
-        checks.probability_checks(deployed, "risk_probability"),
-        checks.policy_checks(deployed, "risk_probability", "policy_threshold", "risk_alert"),
+        checks.one_pass(
+            deployed,
+            checks.temporal_family("DEPLOYMENT", score.year),
+            checks.month_family(deployed, score.month),
+            checks.season_family(score.month, score.season),
+            checks.missing_family("DEPLOYMENT", deployed.columns),
+            checks.probability_family("risk_probability"),
+            checks.policy_family("risk_probability", "policy_threshold", "risk_alert"),
+        ),
         checks.performance_gates(deployed, ScoreSpec(score.actual, "risk_probability"), POLICY_THRESHOLD),
     )

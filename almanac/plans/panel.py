@@ -41,9 +41,9 @@ def clean_wide(raw: DataFrame, entity: str) -> DataFrame:
 
 def panel_features(panel: DataFrame, spec: PanelSpec = SPEC, reference_period: tuple[int, int] | None = None) -> DataFrame:
     """Rolling sums, baseline, anomaly, deficit and flags."""
-    rolled = features.rolling_sums(panel, spec)
-    based = features.add_baseline(rolled, spec, reference_period)
-    return features.add_flags(features.add_deficit(features.add_anomaly(based, spec), spec), spec)
+    based = features.add_baseline(features.cluster(panel, spec), spec, reference_period)
+    rolled = features.rolling_sums(based, spec)
+    return features.add_flags(features.add_deficit(features.add_anomaly(rolled, spec), spec), spec)
 
 
 def standardized(panel: DataFrame, spec: PanelSpec = SPEC, reference_period: tuple[int, int] | None = None) -> DataFrame:

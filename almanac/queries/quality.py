@@ -314,7 +314,9 @@ _CHECK_COLUMNS = "section check status value details"
 
 
 def _deployed(spark, directory):
-    return monitoring.deployment_table(scored_lines(spark, directory, CALENDAR_A))
+    scored = scored_lines(spark, directory, CALENDAR_A).drop("probability_2", "probability_3")
+    # Keys, columns, months and performance each pass over the rows.
+    return stored(monitoring.deployment_table(scored), "deployed")
 
 
 def _quality(spark, directory):
