@@ -19,6 +19,7 @@ from almanac.functions.calendar import (
     valid_season,
 )
 from almanac.functions.scalar import no_nan
+from almanac.operators.joins import many_to_one
 
 # Columns that know the future or restate the target.
 LEAKAGE_COLUMNS = [
@@ -151,7 +152,7 @@ def recover_season(
     joined = df
     if lookup is not None:
         unique = lookup.filter(valid_season(F.col("season"))).groupBy(*keys).agg(F.min("season").alias("_lookup_season"))
-        joined = df.join(unique, list(keys), "left")
+        joined = many_to_one(df, unique, keys)
         sources["lookup"] = F.col("_lookup_season")
     picked = F.coalesce(*[sources[name] for name in order if name in sources], F.lit(UNKNOWN))
     return joined.withColumn("_season", picked).drop("season", "_lookup_season").withColumnRenamed("_season", "season")

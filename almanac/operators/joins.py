@@ -25,6 +25,19 @@ def unique_on(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFr
     return checked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def many_to_one(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join facts to a grouped table although one key may hold much of the facts.
+
+    A join on the grouping keys alone would reuse the grouped side's partitioning,
+    and adaptive execution only splits hot keys when both sides are shuffled for
+    the join. The second equality, on a hash of the key, asks for that shuffle;
+    the grouped side is the small one. Rows with a NULL key match nothing.
+    """
+    mark = F.xxhash64(*[F.col(k) for k in on])
+    joined = left.withColumn("_hash", mark).join(right.withColumn("_hash", mark), [*on, "_hash"], how)
+    return joined.drop("_hash")
+
+
 def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", validate: str = "many_to_one") -> DataFrame:
     """Join that refuses repeated keys on the sides that must be unique.
 
@@ -33,6 +46,8 @@ def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str
     one_left, one_right = (side == "one" for side in validate.split("_to_"))
     left = unique_on(left, on, "left side") if one_left else left
     right = unique_on(right, on, "right side") if one_right else right
+    if one_right and not one_left:
+        return many_to_one(left, right, on, how)
     return left.join(right, list(on), how)
 
 
@@ -74,7 +89,7 @@ def lookup_left(df: DataFrame, lookup: DataFrame, keys: Sequence[str], columns:
     kept = lookup.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_row"))
     named = {c: c + suffix if c in df.columns else c for c in columns}
     right = kept.select(*keys, *[F.col("_row")[c].alias(n) for c, n in named.items()])
-    return df.join(right, list(keys), "left")
+    return many_to_one(df, right, keys)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", equal: Sequence[str] = ()) -> DataFrame:
@@ -92,8 +107,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def semi_filter(df: DataFrame, keys_df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key occurs in the other table."""
-    return df.join(keys_df.select(*on), list(on), "left_semi")
+    """Rows whose key occurs in the other table, even when one key holds many rows."""
+    return many_to_one(df, keys_df.select(*on), on, "left_semi")
 
 
 def apply_season_threshold(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions.scalar import rate
 from almanac.operators.distribution import prefix_sums, value_bucket
+from almanac.operators.joins import many_to_one
 from almanac.session import durable
 
 # monotonically_increasing_id keeps the partition in the high bits and the row's
@@ -62,7 +63,7 @@ def dense_rank_by(df: DataFrame, by: str, out: str = "risk_rank", descending: bo
     distinct = df.groupBy(by).agg(F.lit(1).alias("_one")).filter(F.col(by).isNotNull())
     ranks = prefix_sums(distinct, [], by, ["_one"], bucket=value_bucket, descending=descending)
     table = ranks.select(by, (F.col("_one_before") + 1).cast("int").alias(out))
-    return df.join(table, by, "left").select(*df.columns, out)
+    return many_to_one(df, table, [by]).select(*df.columns, out)
 
 
 def sort_panel(df: DataFrame, keys: Sequence[str]) -> DataFrame:

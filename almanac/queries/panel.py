@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from almanac.functions.calendar import add_months
 from almanac.operators import clean, episodes, features, joins, profiles, ranking, splits, targets
 from almanac.plans import panel as plans
 from almanac.queries import sqlparts as sql
@@ -268,6 +269,21 @@ def _dataset_v4_join(spark, directory):
     return clean.select_features(joined, [*plans.BASE_FEATURES, *plans.TEMPORAL_FEATURES, plans.SEVERE_TARGET])
 
 
+@query(
+    "target_join",
+    final(
+        [*_TARGETS, "x AS (SELECT entity, year, month, zscore, target_3m_severe_anomaly, CAST(date + INTERVAL 3 MONTH AS DATE) AS horizon FROM tgt)"],
+        "x", "entity month horizon", "year target_3m_severe_anomaly", "zscore",
+    ).replace('"horizon"', 'CAST("horizon" AS VARCHAR) AS "horizon"'),
+)
+def _target_join(spark, directory):
+    """Features joined 1:1 to their target; a feature row without target would raise."""
+    keys = ["entity", "year", "month"]
+    severe = plans.severe_dataset(quantity_panel(spark, directory))
+    features_ = severe.select(*keys, "zscore", add_months(F.col("date"), 3).alias("horizon"))
+    return joins.join_target(features_, severe.select(*keys, plans.SEVERE_TARGET), keys)
+
+
 @query(
     "target_diagnostics",
     final(

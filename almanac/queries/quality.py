@@ -9,6 +9,7 @@ from almanac.operators import checks, clean, drift, slices
 from almanac.operators.clean import LEAKAGE_COLUMNS
 from almanac.operators.joins import lookup_left, unexpected_values, union_all
 from almanac.operators.policy import select_two_tier
+from almanac.operators.ranking import arg_max
 from almanac.operators.sweep import GRID_V4, threshold_sweep
 from almanac.plans import monitoring
 from almanac.plans import panel as plans
@@ -250,6 +251,41 @@ def _unexpected(spark, directory):
     return unexpected_values(table(spark, directory, "events"), "event_type", ["click", "view"])
 
 
+@query(
+    "worst_feature",
+    final([*_DRIFT, "x AS (SELECT feature, psi FROM fd WHERE psi IS NOT NULL ORDER BY round(psi, 9) DESC, feature LIMIT 1)"], "x", "feature", "", "psi"),
+)
+def _worst_feature(spark, directory):
+    drifted = _feature_drift(spark, directory)
+    return arg_max(drifted.withColumn("psi", F.round("psi", 9)), "feature", "psi")
+
+
+@query(
+    "worst_missing",
+    final([*_BASE, "m AS (SELECT 'zscore' AS worst_column, avg(CASE WHEN zscore IS NULL THEN 1 ELSE 0 END) AS maximum_rate FROM d)"], "m", "worst_column", "", "maximum_rate"),
+)
+def _worst_missing(spark, directory):
+    return checks.worst_missing(_drift_rows(spark, directory).select("historical_mean", "zscore", "measure"))
+
+
+@query(
+    "monitor_columns",
+    f"""WITH {sql.S} SELECT count(*) AS n, round(avg(probability_2), 6) + 0.0 AS mean_probability,
+  count(*) FILTER (WHERE probability_2 >= CAST(0.09 AS DOUBLE)) AS alerts, count(*) FILTER (WHERE month = 12) AS invalid_months FROM s""",
+)
+def _monitor_columns(spark, directory):
+    """The first probability column present is monitored; alerts are derived when absent."""
+    scored = scored_lines(spark, directory).withColumnRenamed("probability_2", "sigmoid_probability").drop("probability")
+    picked = clean.pick_probability(scored, ["final_probability", "sigmoid_probability", "probability_3"])
+    alerted = clean.pick_alert(picked, ["risk_alert"], "monitor_probability", T)
+    shifted = alerted.withColumn("month", F.col("month") % 12)
+    invalid = clean.invalid_month_rows(shifted).agg(F.count(F.lit(1))).scalar()
+    facts = alerted.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("monitor_probability").alias("mean_probability"), F.sum("monitor_alert").alias("alerts")
+    )
+    return facts.withColumn("invalid_months", invalid)
+
+
 @query(
     "lookup_join",
     """WITH k AS (SELECT l_orderkey, min((l_partkey, l_suppkey)) AS m FROM lineitem GROUP BY l_orderkey)

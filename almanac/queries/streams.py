@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from almanac.functions.calendar import SEASONS
 from almanac.operators import models
 from almanac.operators.clean import wide_to_long
+from almanac.operators.ranking import best_row
+from almanac.operators.sweep import GRID_POLICY, threshold_sweep
 from almanac.plans import panel as plans
 from almanac.queries import sqlparts as sql
 from almanac.queries.modelling import _prepared, _train
 from almanac.queries.registry import final, query
-from almanac.session import new_path
+from almanac.session import new_path, with_row
 from almanac.sources import io
-from almanac.sources.adapters import quantity_panel, scored_events, table, wide_panel
+from almanac.sources.adapters import quantity_panel, scored_events, scored_lines, table, wide_panel
 from almanac.spec import ScoreSpec
 from almanac.streaming.alerts import event_stream, run_to_table, stream_alert_rate
 from almanac.streaming.scoring import stream_score
@@ -69,6 +72,55 @@ def _csv_round_trip(spark, directory):
     return wide_to_long(raw.select("entity", "year", *months), ["entity", "year"], months, "measure").filter(F.col("measure").isNotNull())
 
 
+_SCHEMA = StructType(
+    [StructField("features", ArrayType(StringType())), StructField("categories", StructType([StructField("month", ArrayType(StringType())), StructField("season", ArrayType(StringType()))]))]
+)
+
+
+@query(
+    "schema_artifact",
+    f"""WITH {sql.P}, x AS (SELECT DISTINCT entity, month FROM p)
+SELECT entity, month, CAST(CASE WHEN month IN ('JAN', 'FEB') THEN 1 ELSE 0 END AS BIGINT) AS is_winter FROM x""",
+)
+def _schema_artifact(spark, directory):
+    """The model schema goes out as JSON and closes the domain of the rows read back."""
+    panel = quantity_panel(spark, directory)
+    path = new_path(spark, "model-schema")
+    months = panel.agg(F.sort_array(F.collect_set("month")).alias("month"))  # at most twelve names
+    io.write_json_artifact(
+        months.select(
+            F.array(*[F.lit(c) for c in plans.NUMERIC_FEATURES]).alias("features"),
+            F.struct("month", F.array(*[F.lit(s) for s in SEASONS]).alias("season")).alias("categories"),
+        ),
+        path,
+    )
+    schema = io.read_json_artifact(spark, path, _SCHEMA)
+    checked = with_row(panel, schema, {"domain": "categories"})
+    inside = checked.filter(F.array_contains(F.col("domain.month"), F.col("month")))
+    return inside.select("entity", "month", F.col("month").isin("JAN", "FEB").alias("is_winter")).distinct()
+
+
+@query(
+    "policy_artifact",
+    final(
+        [sql.S, *sql.sweep("s", "w", 10, 170, 5), """b AS (SELECT threshold FROM (SELECT * REPLACE (round(f1, 9) AS f1) FROM w) ORDER BY f1 DESC, threshold LIMIT 1)""",
+         "x AS (SELECT season, count(*) AS n, count(*) FILTER (WHERE probability >= (SELECT threshold FROM b)) AS alerts, (SELECT threshold FROM b) AS threshold FROM s GROUP BY season)"],
+        "x", "season", "n alerts", "threshold",
+    ),
+)
+def _policy_artifact(spark, directory):
+    """The chosen policy is written, read back, validated and applied."""
+    scored = scored_lines(spark, directory)
+    sweep = threshold_sweep(scored, ScoreSpec(), GRID_POLICY).withColumn("f1", F.round("f1", 9))
+    chosen = best_row(sweep, [("f1", True), ("threshold", False)])
+    path = new_path(spark, "policy")
+    io.write_table(chosen.select(F.lit("event").alias("target"), F.lit("sigmoid_probability").alias("probability_type"), "threshold"), path, "csv")
+    judged = with_row(scored, io.load_policy(spark, path), {"threshold": "threshold"})
+    return judged.groupBy("season").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("probability") >= F.col("threshold")).alias("alerts"), F.max("threshold").alias("threshold")
+    )
+
+
 @query(
     "land_and_bundle",
     final(

@@ -126,6 +126,31 @@ def test_checked_join_refuses_repeated_keys(spark):
         joins.checked_join(right, left, ["k"]).collect()
 
 
+def test_hot_keys_are_split(spark):
+    """Most facts share one key; adaptive execution must be able to split it."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        ids = spark.range(0, 40000, 1, 8)
+        facts = ids.select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(0).alias("k"), "id")
+        lookup = ids.select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+        for joined in (joins.lookup_left(facts, lookup, ["k"], ["v"]), joins.semi_filter(facts, lookup.groupBy("k").count(), ["k"])):
+            assert joined.count() == 40000
+            joined.write.format("noop").mode("overwrite").save()
+            result = joined.collect()
+            assert len(result) == 40000
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_join_target_keeps_every_row(spark):
     features_ = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, x double")
     target = spark.createDataFrame([(1, 0), (2, 1)], "k int, y int")
