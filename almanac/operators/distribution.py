@@ -51,7 +51,9 @@ def prefix_sums(
 
     ``df`` must hold one row per (keys, value), the usual result of a groupBy.
     """
-    step = -bucket(F.col(value)) if descending else bucket(F.col(value))
+    # Never NULL: otherwise the join would add a null filter to one side only, and
+    # the grouping below both sides would run twice instead of being reused.
+    step = F.coalesce(-bucket(F.col(value)) if descending else bucket(F.col(value)), F.lit(0))
     placed = df.withColumn("_bucket", step)
     totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     # At most one row per bucket and group: a bounded window.
