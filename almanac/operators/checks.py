@@ -348,7 +348,7 @@ def policy_checks(df: DataFrame, probability: str, threshold: str, alert: str, a
     return one_pass(df, policy_family(probability, threshold, alert, alert_range))
 
 
-def performance_gates(df: DataFrame, score: ScoreSpec, threshold: float | Column, gates: Gates = GATES) -> DataFrame:
+def performance_gates(df: DataFrame, score: ScoreSpec, threshold: float, gates: Gates = GATES) -> DataFrame:
     """Model quality against its limits."""
     facts = metrics_by(df, score, threshold, [], ranking=True)
 

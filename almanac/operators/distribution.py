@@ -35,6 +35,21 @@ def value_bucket(v: Column) -> Column:
     return F.when(x < 0, -magnitude).otherwise(magnitude)
 
 
+def even_steps(bins: int) -> list[float]:
+    """0, 1/bins, ... 1 as multiples of the step.
+
+    0.1 * 3 is not the same double as 0.3. Bin edges often hit data values, so the
+    last digit decides on which side a row falls.
+    """
+    return [i * (1.0 / bins) for i in range(bins)] + [1.0]
+
+
+def interpolate(low: Column, high: Column, share: Column) -> Column:
+    """Linear interpolation measured from the nearer end, so that equal ends give that value."""
+    span = high - low
+    return F.when(share >= 0.5, high - span * (1 - share)).otherwise(low + span * share)
+
+
 def _over(keys: Sequence[str]) -> list:
     return [F.col(k) for k in keys] or [F.lit(0)]
 
@@ -97,7 +112,9 @@ def quantiles(
     )
 
     def position(q: float) -> Column:
-        return (F.col("_total") - 1) * F.lit(float(q))
+        # By way of percent, as the usual data-frame libraries do; it can move the
+        # last digit (0.7000000000000001 becomes 0.7).
+        return (F.col("_total") - 1) * F.lit(float(q) * 100 / 100)
 
     def low(q: float) -> Column:
         return F.floor(position(q)).cast("long")
@@ -127,8 +144,7 @@ def quantiles(
         picks.append(F.max(F.when(covers(high(q)), F.col("_v"))).alias(f"_hi{i}"))
     ends = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
     values = [
-        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (position(q) - F.floor(position(q)))
-        for i, q in enumerate(probs)
+        interpolate(F.col(f"_lo{i}"), F.col(f"_hi{i}"), position(q) - F.floor(position(q))) for i, q in enumerate(probs)
     ]
     return ends.select(*keys, F.array(*values).alias(out), F.col("_total").alias("n"))
 

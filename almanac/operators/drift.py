@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions.levels import PSI_LABELS, PSI_LABELS_V4, PSI_MODERATE, PSI_SIGNIFICANT, psi_class
 from almanac.functions.scalar import PSI_EPSILON, flag, psi_term, rate
-from almanac.operators.distribution import quantiles
+from almanac.operators.distribution import even_steps, quantiles
 from almanac.operators.joins import union_all
 from almanac.operators.ranking import row_rank
 
@@ -86,7 +86,7 @@ def psi_reference_edges(df: DataFrame, features: Sequence[str], periods: Periods
     distinct inner intervals give 0.
     """
     long = _long(df, features, periods).filter(_finite(F.col("value")))
-    steps = [i / bins for i in range(bins + 1)]
+    steps = even_steps(bins)
     edges = quantiles(long.filter(periods.is_reference()), ["feature"], "value", steps).select(
         "feature", F.array_sort(F.array_distinct("quantiles")).alias("_edges")
     )
@@ -108,7 +108,7 @@ def psi_pooled_edges(df: DataFrame, features: Sequence[str], periods: Periods =
     around its value. A period without values gives NULL.
     """
     long = _long(df, features, periods).filter(_finite(F.col("value")))
-    steps = [i / bins for i in range(bins + 1)]
+    steps = even_steps(bins)
     edges = quantiles(long, ["feature"], "value", steps).select(
         "feature", F.array_sort(F.array_distinct("quantiles")).alias("_edges")
     )

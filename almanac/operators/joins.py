@@ -18,11 +18,11 @@ def unique_on(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFr
     before it travels.
     """
     rest = [c for c in df.columns if c not in keys]
-    payload = F.first(F.struct(*rest)) if rest else F.lit(None)
-    grouped = df.groupBy(*keys).agg(payload.alias("_row"), F.count(F.lit(1)).alias("_n"))
+    # Column by column: a struct buffer would rule out hash aggregation.
+    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in rest])
     message = F.concat(F.lit(f"{what}: repeated key "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
     checked = grouped.filter(F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
-    return checked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    return checked.select(*df.columns)
 
 
 def many_to_one(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from almanac.functions.calendar import period_thirds, valid_month
 from almanac.functions.levels import DEPLOYMENT_ORDER, deployment_level
 from almanac.functions.scalar import flag, rate
-from almanac.operators.distribution import quantile_columns, quantiles
+from almanac.operators.distribution import even_steps, quantile_columns, quantiles
 from almanac.operators.joins import null_safe_join, union_all
 from almanac.operators.metrics import COUNTS, binary_metrics, confusion_aggregates, metrics_by
 from almanac.operators.ranking import dense_rank_by
@@ -103,7 +103,7 @@ def reliability(df: DataFrame, score: ScoreSpec, bins: int = 10) -> DataFrame:
     Bins are right-closed between distinct quantiles; the first also holds the
     minimum. Repeated quantiles merge into one bin.
     """
-    edges = quantiles(df, [], score.probability, [i / bins for i in range(bins + 1)])
+    edges = quantiles(df, [], score.probability, even_steps(bins))
     unique = edges.select(F.array_distinct("quantiles").alias("edges"))
     placed = with_row(df.filter(F.col(score.probability).isNotNull()), unique, {"_edges": "edges"})
     position = F.lit(0)
@@ -203,7 +203,7 @@ def probability_summary(df: DataFrame, score: ScoreSpec, threshold: float) -> Da
 
 
 def alert_stability(df: DataFrame, score: ScoreSpec, threshold: float, by: str = "year") -> DataFrame:
-    """Alerts and probability level per year."""
+    """Alerts and probability level per year (or another slice)."""
     p = F.col(score.probability)
     table = df.groupBy(by).agg(
         F.count(F.lit(1)).alias("observations"),
@@ -211,7 +211,8 @@ def alert_stability(df: DataFrame, score: ScoreSpec, threshold: float, by: str =
         F.avg(p).alias("mean_probability"),
         F.max(p).alias("maximum_probability"),
     ).withColumn("alert_rate", rate(F.col("alerts"), F.col("observations")))
-    p95 = quantile_columns(df, [by], score.probability, {"p95_probability": 0.95}).drop("n")
+    few = by in (score.year, score.month, score.season)
+    p95 = quantile_columns(df, [by], score.probability, {"p95_probability": 0.95}, bounded_keys=few).drop("n")
     return null_safe_join(table, p95, [by], "left")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.functions.calendar import valid_year
 from almanac.operators.distribution import quantiles
 from almanac.session import with_row
 
@@ -23,10 +24,10 @@ def split_by_years(
 ) -> DataFrame:
     """TRAIN / VALIDATION / TEST by position among the distinct years.
 
-    With n years the cuts lie after int(n * fraction) of them. Years are at most
-    301, so numbering them is a bounded window.
+    With n years the cuts lie after int(n * fraction) of them. Valid years are at
+    most 301, so numbering them is a bounded window.
     """
-    years = df.select(year).filter(F.col(year).isNotNull()).distinct()
+    years = df.select(year).filter(valid_year(F.col(year))).distinct()
     everything = Window.partitionBy(F.lit(0))
     numbered = years.select(
         year, F.row_number().over(everything.orderBy(year)).alias("_i"), F.count(F.lit(1)).over(everything).alias("_n")

@@ -325,8 +325,8 @@ def _split_by_year(spark, directory):
 
 @query(
     "split_by_quantile",
-    _split_sql("""cut AS (SELECT quantile_cont(CAST(year AS DOUBLE), 0.8) AS c FROM tgt),
-sp AS (SELECT tgt.*, CASE WHEN year <= c THEN 'TRAIN' ELSE 'TEST' END AS split FROM tgt CROSS JOIN cut)"""),
+    _split_sql(", ".join(sql.quantile_edges("tgt", "cut", "CAST(year AS DOUBLE)", steps="[0.8]")) + """,
+sp AS (SELECT tgt.*, CASE WHEN year <= edge THEN 'TRAIN' ELSE 'TEST' END AS split FROM tgt CROSS JOIN cut)"""),
 )
 def _split_by_quantile(spark, directory):
     return profiles.class_balance(splits.split_by_quantile(_dataset(spark, directory)), "split", plans.SEVERE_TARGET)

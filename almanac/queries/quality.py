@@ -32,7 +32,6 @@ _ROWS = """d AS (SELECT * REPLACE (CASE WHEN entity IN ('Brand#11', 'Brand#12')
   CASE WHEN year <= 1999 THEN 'REFERENCE' ELSE 'PRODUCTION' END AS period FROM risk)"""
 _BASE = [sql.P, *sql.risk("p"), _ROWS]
 _LONG = "l AS (" + " UNION ALL ".join(f"SELECT period, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM d" for c in NUMERIC) + ")"
-_STEPS = "[0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"
 
 
 def _drift_rows(spark, directory):
@@ -55,8 +54,8 @@ def _psi(name: str, counts: str, keys: str) -> list[str]:
 def _binned(name: str, edges_from: str, compare: str) -> list[str]:
     """Counts per feature and number of inner edges below the value."""
     return [
-        f"{name}_q AS (SELECT feature, quantile_cont(value, {_STEPS}) AS q FROM l WHERE value IS NOT NULL {edges_from} GROUP BY feature)",
-        f"{name}_u AS (SELECT DISTINCT feature, unnest(q) AS edge FROM {name}_q)",
+        *sql.quantile_edges("l", f"{name}_q", "value", "feature", where=edges_from),
+        f"{name}_u AS (SELECT DISTINCT feature, edge FROM {name}_q)",
         f"{name}_n AS (SELECT feature, count(*) AS edges, min(edge) AS lo, max(edge) AS hi FROM {name}_u GROUP BY feature)",
         f"{name}_i AS (SELECT u.feature, edge FROM {name}_u u JOIN {name}_n n ON u.feature = n.feature WHERE edge > lo AND edge < hi "
         f"UNION ALL SELECT feature, lo - CAST(1e-6 AS DOUBLE) FROM {name}_n WHERE edges = 1 UNION ALL SELECT feature, lo + CAST(1e-6 AS DOUBLE) FROM {name}_n WHERE edges = 1)",

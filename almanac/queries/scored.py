@@ -164,8 +164,7 @@ def _threshold_list(spark, directory):
 @query(
     "reliability_deciles",
     final(
-        [sql.S, "q AS (SELECT quantile_cont(probability, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM s)",
-         "d AS (SELECT DISTINCT unnest(e) AS edge FROM q)",
+        [sql.S, *sql.quantile_edges("s", "q", "probability"), "d AS (SELECT DISTINCT edge FROM q)",
          "k AS (SELECT probability, greatest(count(edge), 1) AS bin FROM (SELECT DISTINCT probability FROM s) LEFT JOIN d ON edge < probability GROUP BY 1)",
          "b AS (SELECT bin, actual, probability FROM s JOIN k USING (probability))",
          """r AS (SELECT bin, count(*) AS observations, sum(actual) AS events, avg(probability) AS mean_probability, min(probability) AS minimum_probability,

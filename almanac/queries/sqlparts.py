@@ -166,6 +166,28 @@ def ranking(source: str, name: str, by: str = "", p: str = "probability") -> str
   FROM {name}_r{group})"""
 
 
+# Multiples of 0.1 as a float loop gives them, after a round trip through percent.
+STEPS = "[0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7, 0.8, 0.9, 1.0]"
+
+
+def quantile_edges(source: str, name: str, value: str, by: str = "", steps: str = STEPS, where: str = "") -> list[str]:
+    """Interpolated quantiles as rows (by, edge), spelled out.
+
+    Built-in quantile functions round the interpolation differently in the last
+    digit, which matters where an edge meets a data value.
+    """
+    keys = by or "one"
+    source_key = by or "1 AS one"
+    return [
+        f"{name}_o AS (SELECT {source_key}, {value} AS v, row_number() OVER ({'PARTITION BY ' + by if by else ''} ORDER BY {value}) - 1 AS i, "
+        f"count(*) OVER ({'PARTITION BY ' + by if by else ''}) AS n FROM {source} WHERE {value} IS NOT NULL {where})",
+        f"{name}_t AS (SELECT {keys}, (n - 1) * q AS pos FROM (SELECT DISTINCT {keys}, n FROM {name}_o) CROSS JOIN (SELECT unnest(CAST({steps} AS DOUBLE[])) AS q))",
+        f"{name}_e AS (SELECT t.{keys}, a.v AS lo, b.v AS hi, pos - floor(pos) AS g FROM {name}_t t JOIN {name}_o a ON a.{keys} = t.{keys} AND a.i = floor(pos) "
+        f"JOIN {name}_o b ON b.{keys} = t.{keys} AND b.i = ceil(pos))",
+        f"{name} AS (SELECT {keys}, CASE WHEN g >= 0.5 THEN hi - (hi - lo) * (1 - g) ELSE lo + (hi - lo) * g END AS edge FROM {name}_e)",
+    ]
+
+
 def sweep(source: str, name: str, start: int, stop: int, step: int, by: str = "", p: str = "probability") -> list[str]:
     """All metrics at every threshold of a grid."""
     keys = f"{by}, " if by else ""

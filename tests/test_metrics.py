@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -218,7 +219,7 @@ def test_psi_against_numpy(spark, rows):
     current = [round(random.gauss(0.5, 1.2), 1) for _ in range(150)]
     data = [("REFERENCE", v, 3.0) for v in reference] + [("PRODUCTION", v, 3.0) for v in current]
     df = spark.createDataFrame(data, "period string, x double, flat double")
-    steps = [i / 10 for i in range(11)]
+    steps = np.linspace(0, 1, 11)
     own = np.unique(np.quantile(reference, steps))[1:-1]
     pooled = np.unique(np.quantile(reference + current, steps))[1:-1]
     k1 = {r["feature"]: r["psi"] for r in rows(drift.psi_reference_edges(df, ["x", "flat"]))}
@@ -228,6 +229,20 @@ def test_psi_against_numpy(spark, rows):
     assert (k1["flat"], k2["flat"]) == (0.0, pytest.approx(0.0))
 
 
+def test_edges_equal_the_pandas_definition(spark):
+    """Values that quantiles hit exactly: bins must come out as pandas makes them."""
+    random.seed(4)
+    values = [random.randint(0, 400) - random.choice([3, 7]) / 7 for _ in range(1901)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = distribution.quantiles(df, [], "v", distribution.even_steps(10)).first().quantiles
+    want = pd.Series(values).quantile(np.linspace(0, 1, 11)).tolist()
+    assert got == want
+    scored_ = spark.createDataFrame([(abs(v) / 500, int(v) % 2) for v in values], "probability double, actual int")
+    table = slices.reliability(scored_, SCORE).orderBy("bin").collect()
+    cut = pd.qcut(pd.Series([abs(v) / 500 for v in values]), 10, duplicates="drop").value_counts(sort=False).tolist()
+    assert [r.observations for r in table] == cut
+
+
 def test_psi_needs_rows_and_counts_new_categories(spark, rows):
     data = [("REFERENCE", float(i), "a") for i in range(30)] + [("PRODUCTION", float(i), "b" if i else None) for i in range(10)]
     df = spark.createDataFrame(data, "period string, x double, c string")
