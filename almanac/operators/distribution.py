@@ -90,7 +90,7 @@ def quantiles(
     value: str,
     probs: Sequence[float],
     out: str = "quantiles",
-    bounded_keys: bool = True,
+    bounded_keys: bool = False,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one array per group, plus ``n``.
 
@@ -129,7 +129,7 @@ def quantiles(
     for q in probs:
         wanted = wanted | covers(low(q)) | covers(high(q))
     hits = located.filter(wanted).select(*keys, "_bucket", F.col("_before").alias("_offset"), "_total")
-    if bounded_keys:
+    if bounded_keys or not keys:
         hits = F.broadcast(hits)
     counts = (
         null_safe_join(placed, hits, keys, equal=["_bucket"])
@@ -149,7 +149,7 @@ def quantiles(
     return ends.select(*keys, F.array(*values).alias(out), F.col("_total").alias("n"))
 
 
-def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float], bounded_keys: bool = True) -> DataFrame:
+def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float], bounded_keys: bool = False) -> DataFrame:
     """Quantiles as named columns."""
     q = quantiles(df, keys, value, list(named.values()), bounded_keys=bounded_keys)
     return q.select(*keys, "n", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(named)])

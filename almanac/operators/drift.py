@@ -87,7 +87,7 @@ def psi_reference_edges(df: DataFrame, features: Sequence[str], periods: Periods
     """
     long = _long(df, features, periods).filter(_finite(F.col("value")))
     steps = even_steps(bins)
-    edges = quantiles(long.filter(periods.is_reference()), ["feature"], "value", steps).select(
+    edges = quantiles(long.filter(periods.is_reference()), ["feature"], "value", steps, bounded_keys=True).select(
         "feature", F.array_sort(F.array_distinct("quantiles")).alias("_edges")
     )
     inner = edges.select(
@@ -109,7 +109,7 @@ def psi_pooled_edges(df: DataFrame, features: Sequence[str], periods: Periods =
     """
     long = _long(df, features, periods).filter(_finite(F.col("value")))
     steps = even_steps(bins)
-    edges = quantiles(long, ["feature"], "value", steps).select(
+    edges = quantiles(long, ["feature"], "value", steps, bounded_keys=True).select(
         "feature", F.array_sort(F.array_distinct("quantiles")).alias("_edges")
     )
     only = F.col("_edges")[0]

@@ -24,7 +24,7 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Interpolated median of every column, as one row."""
     numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     long = numeric.unpivot([], list(columns), "feature", "value")
-    medians = quantiles(long, ["feature"], "value", [0.5]).select("feature", F.col("quantiles")[0].alias("median"))
+    medians = quantiles(long, ["feature"], "value", [0.5], bounded_keys=True).select("feature", F.col("quantiles")[0].alias("median"))
     return medians.groupBy().agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(c) for c in columns])
 
 
