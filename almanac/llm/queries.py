@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import decontaminate, packing, simhash
+from almanac.llm import decontaminate, packing, quality_rules, quality_trees, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,3 +48,16 @@ def op5(spark: SparkSession, directory: str) -> DataFrame:
 def op10(spark: SparkSession, directory: str) -> DataFrame:
     """Benchmark passages in all documents."""
     return decontaminate.contaminated(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
+@query("op2_histogram_trees")
+def op2(spark: SparkSession, directory: str) -> DataFrame:
+    """A quality score of every document."""
+    return quality_trees.classified(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query("op3_ngram_rules")
+def op3(spark: SparkSession, directory: str) -> DataFrame:
+    """Quality counts of every document, and whether it is kept."""
+    docs, labels = table(spark, directory, "documents"), table(spark, directory, "labels")
+    return quality_rules.judged(docs, quality_rules.train(docs, labels))
