@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import decontaminate, packing, quality_rules, quality_trees, simhash
+from almanac.llm import decontaminate, html_template, license_scan, packing, quality_rules, quality_trees, simhash, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,3 +61,22 @@ def op3(spark: SparkSession, directory: str) -> DataFrame:
     """Quality counts of every document, and whether it is kept."""
     docs, labels = table(spark, directory, "documents"), table(spark, directory, "labels")
     return quality_rules.judged(docs, quality_rules.train(docs, labels))
+
+
+@query("op6_pattern_rules", url_rules.verdicts_sql())
+def op6(spark: SparkSession, directory: str) -> DataFrame:
+    """A verdict on the url of every page."""
+    return url_rules.verdicts(table(spark, directory, "pages"))
+
+
+@query("op7_license_join", license_scan.scan_sql())
+def op7(spark: SparkSession, directory: str) -> DataFrame:
+    """License statements of every document."""
+    return license_scan.scan(table(spark, directory, "documents"))
+
+
+@query("op4_equivalence_classes")
+def op4(spark: SparkSession, directory: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_template.main_text(table(spark, directory, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
