@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import decontaminate, html_template, license_scan, packing, quality_rules, quality_trees, simhash, url_rules
+from almanac.llm import decontaminate, html_template, license_scan, packing, quality_rules, quality_trees, repeats, simhash, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,3 +80,10 @@ def op4(spark: SparkSession, directory: str) -> DataFrame:
     """The main text of every page."""
     found = html_template.main_text(table(spark, directory, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
+
+
+@query("op8_prefix_interval_tree")
+def op8(spark: SparkSession, directory: str) -> DataFrame:
+    """What is left of every document without its repeated stretches of 100 bytes."""
+    found = repeats.without_repeats(table(spark, directory, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
