@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import decontaminate, html_template, license_scan, packing, quality_rules, quality_trees, repeats, simhash, url_rules
+from almanac.llm import decontaminate, html_template, license_scan, packing, passages, quality_rules, quality_trees, repeats, simhash, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,3 +87,9 @@ def op8(spark: SparkSession, directory: str) -> DataFrame:
     """What is left of every document without its repeated stretches of 100 bytes."""
     found = repeats.without_repeats(table(spark, directory, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_compact_windows")
+def op9(spark: SparkSession, directory: str) -> DataFrame:
+    """Passages of all documents that nearly repeat a passage of an earlier one."""
+    return passages.near_passages(table(spark, directory, "documents"))

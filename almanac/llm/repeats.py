@@ -116,11 +116,10 @@ def _snippet_rows(joined: DataFrame, least: int) -> DataFrame:
         out: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
         for doc, own, data, repeated in zip(part["doc"], part["part"], part["bytes"], part["repeated"]):
             h, place, first, last = (x.tolist() for x in anchors(data, least))
-            wanted = {(r["h"], r["i"]): r["n"] for r in repeated}
-            for (key, i), n in wanted.items():
-                if i >= len(h) or h[i] != key:
+            for i, n in {r["i"]: r["n"] for r in repeated}.items():
+                if i >= len(h):
                     continue  # of another text with this id
-                p = place[i]
+                key, p = h[i], place[i]
                 left, right = data[first[i] : p][::-1], data[p + K : last[i] + least]
                 salt = xxhash.xxh32_intdigest(left + b"\0" + right) % (1 + n // CROWD) if n > CROWD else 0
                 for column, value in zip(out.values(), (key, salt, n > CROWD, doc, own, p, left, right)):
@@ -234,10 +233,10 @@ def without_repeats(docs: DataFrame, least: int = LEAST, id_column: str = "doc_i
     repeated = stored(repeated.select("h", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")), "anchors")
     copies = stored(_copies(texts), "copies")
     own = _anchor_rows(texts, least).join(repeated, "h").join(copies, "doc", "left_anti")
-    per_document = own.groupBy("doc").agg(F.collect_list(F.struct("h", "i", "n")).alias("repeated"))
-    # The same exchange serves both joins with the texts.
+    per_document = own.groupBy("doc").agg(F.collect_list(F.struct("i", "n")).alias("repeated"))
+    # Both joins read the same columns of the texts, so that one exchange serves both.
     dealt = texts.repartition("doc")
-    joined = dealt.join(per_document, "doc").select("doc", "part", "bytes", "repeated")
+    joined = dealt.join(per_document, "doc").select("id", "doc", "part", "bytes", "repeated")
     dealt_out = _snippet_rows(joined, least).repartition("h", "salt").sortWithinPartitions("h", "salt", "doc", "part", "place")
     found = dealt_out.mapInArrow(lambda b: _search(b, least), "key binary, doc long, part int, start long, stop long")
     spans = found.repartition("key").sortWithinPartitions("key", "doc", "part", "start").mapInArrow(_resolve, "doc long, part int, start long, stop long")
@@ -255,6 +254,6 @@ def without_repeats(docs: DataFrame, least: int = LEAST, id_column: str = "doc_i
                 column.append(value)
         return out
 
-    final = dealt.join(gathered, "doc", "left").select("id", "part", "bytes", "spans")
+    final = dealt.join(gathered, "doc", "left").select("id", "doc", "part", "bytes", "spans")
     return per_slice(final, cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_column)
 
