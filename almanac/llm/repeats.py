@@ -153,40 +153,48 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
 
-def _later(occurrences: list[tuple], left: int, right: int) -> Iterator[tuple]:
-    """Spans of all occurrences but the earliest."""
-    earliest = min(occurrences)
-    for doc, part, place in set(occurrences):
-        if (doc, part, place) != earliest:
-            yield doc.to_bytes(8, "little", signed=True), doc, part, place - left, place + K + right
-
-
 def _search(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Spans that start earlier elsewhere; of crowded anchors also the first of each window of this share of them, under a key of 16 bytes."""
+    """One span for each occurrence that repeats an earlier one. All spans of an occurrence hold its anchor, so they join to one.
+
+    Of crowded anchors also the first of each window of this share of them, under
+    a key of 16 bytes; spans have a key of 8 bytes, their document.
+    """
     out: list[tuple] = []
     for rows in _grouped(batches, ("h", "salt")):
         seen: dict[tuple[bytes, bytes], list[tuple]] = {}
         for r in rows:
             seen.setdefault((r["left"], r["right"]), []).append((r["doc"], r["part"], r["place"]))
-        for (left, right), own in seen.items():
-            if len(own) > 1:
-                out += _later(own, len(left), len(right))
         snippets = list(seen)
+        extent: dict[tuple, tuple[int, int]] = {}
+
+        def later(own: list[tuple], left: int, right: int) -> None:
+            earliest = min(own)
+            for occurrence in own:
+                if occurrence != earliest:
+                    known = extent.get(occurrence, (0, 0))
+                    extent[occurrence] = (max(left, known[0]), max(right, known[1]))
+
+        for left, right in snippets:
+            if len(seen[left, right]) > 1:
+                later(seen[left, right], len(left), len(right))
         if rows[0]["crowded"]:
-            windows: dict[bytes, tuple] = {}
+            windows: set[bytes] = set()
             name = rows[0]["h"].to_bytes(8, "little", signed=True)
             for left, right in sorted(snippets, key=lambda s: min(seen[s])):
-                doc, part, place = min(seen[left, right])
+                first = min(seen[left, right])
                 for offset in range(least - K - len(right), len(left) + 1):
                     digest = xxhash.xxh3_128_digest(name + bytes([offset]) + left[:offset] + right[: least - K - offset])
                     if digest in windows:
-                        out.append((doc.to_bytes(8, "little", signed=True), doc, part, place - offset, place - offset + least))
+                        known = extent.get(first, (0, 0))
+                        extent[first] = (max(offset, known[0]), max(least - K - offset, known[1]))
                     else:
-                        windows[digest] = (doc, part, place)
-                        out.append((digest, doc, part, place - offset, place - offset + least))
+                        windows.add(digest)
+                        out.append((digest, first[0], first[1], first[2] - offset, first[2] - offset + least))
         elif len(snippets) > 1:
             for left, right, members in groups(snippets, least):
-                out += _later([o for i in members for o in seen[snippets[i]]], left, right)
+                later([o for i in members for o in seen[snippets[i]]], left, right)
+        for (doc, part, place), (left, right) in extent.items():
+            out.append((doc.to_bytes(8, "little", signed=True), doc, part, place - left, place + K + right))
         if len(out) > 20_000:
             yield _batch(out, _SPANS)
             out = []
@@ -194,17 +202,26 @@ def _search(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans pass; of the windows under one key all but the earliest do. Rows come sorted, so none are kept."""
+    """Spans of a document joined where they touch; of the windows under one key all but the earliest. Rows come sorted, so none are kept."""
+    schema = pa.schema(list(_SPANS)[1:])
     earliest: tuple = (None,)
+    span: list = []
     for batch in batches:
         out = []
-        for r in batch.to_pylist():
-            own = (r["key"], r["doc"], r["part"], r["start"])
-            if len(r["key"]) == 16 and r["key"] != earliest[0]:
-                earliest = own
-            elif len(r["key"]) != 16 or own != earliest:
-                out.append((r["doc"], r["part"], r["start"], r["stop"]))
-        yield _batch(out, pa.schema(list(_SPANS)[1:]))
+        for key, doc, part, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
+            if len(key) == 16:
+                if key != earliest[0]:
+                    earliest = (key, doc, part, start)
+                elif (key, doc, part, start) != earliest:
+                    out.append((doc, part, start, stop))
+            elif span and span[0] == doc and span[1] == part and start <= span[3]:
+                span[3] = max(span[3], stop)
+            else:
+                if span:
+                    out.append(tuple(span))
+                span = [doc, part, start, stop]
+        yield _batch(out, schema)
+    yield _batch([tuple(span)] if span else [], schema)
 
 
 def covered(size: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
