@@ -121,7 +121,8 @@ def _snippet_rows(joined: DataFrame, least: int) -> DataFrame:
                     continue  # of another text with this id
                 key, p = h[i], place[i]
                 left, right = data[first[i] : p][::-1], data[p + K : last[i] + least]
-                salt = xxhash.xxh32_intdigest(left + b"\0" + right) % (1 + n // CROWD) if n > CROWD else 0
+                # Shares are dealt by document: copies of one snippet need not meet, their windows do.
+                salt = xxhash.xxh32_intdigest(doc.to_bytes(8, "little", signed=True)) % (1 + n // CROWD) if n > CROWD else 0
                 for column, value in zip(out.values(), (key, salt, n > CROWD, doc, own, p, left, right)):
                     column.append(value)
         return out
