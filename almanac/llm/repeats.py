@@ -12,6 +12,7 @@ occurrences that extends equally far to both sides is a maximal repeat group.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.anchors import K, anchors
-from almanac.llm.rows import SLICE, per_slice
+from almanac.llm.rows import SLICE, per_slice, word_chunks
 from almanac.operators.joins import many_to_one
 from almanac.session import stored
 
@@ -102,11 +103,21 @@ def _anchor_rows(texts: DataFrame, least: int) -> DataFrame:
     return per_slice(texts.select("doc", "bytes"), compute, "h long, doc long, i int")
 
 
-def _copies(texts: DataFrame) -> DataFrame:
-    """Ids all of whose rows are copies of a text with a smaller id."""
-    hashed = stored(texts.select("doc", F.sha2("bytes", 256).alias("sha")), "texts")
+def _hashed(texts: DataFrame) -> DataFrame:
+    """``doc, sha, words`` of every text, stored."""
+
+    def compute(part: dict[str, list]) -> dict[str, list]:
+        counts = [sum(map(len, word_chunks(t))) for t in part["bytes"]]
+        return {"doc": part["doc"], "sha": [hashlib.sha256(t).digest() for t in part["bytes"]], "words": counts}
+
+    return stored(per_slice(texts.select("doc", "bytes"), compute, "doc long, sha binary, words long"), "texts")
+
+
+def _copies(hashed: DataFrame) -> DataFrame:
+    """Ids all of whose rows are copies of a text with a smaller id, that id, and the words of the text."""
     first = hashed.groupBy("sha").agg(F.min("doc").alias("first"))
-    return many_to_one(hashed, first, ["sha"], "inner").groupBy("doc").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("b < doc").select("doc")
+    named = many_to_one(hashed, first, ["sha"], "inner").groupBy("doc").agg(F.min("first").alias("first"), F.max("first").alias("last"), F.max("words").alias("words"))
+    return named.where("last < doc").select("doc", "first", "words")
 
 
 def _snippet_rows(joined: DataFrame, least: int) -> DataFrame:
@@ -249,7 +260,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, id_column: str = "doc_i
     texts = _prepared(docs, id_column, text)
     repeated = _anchor_rows(texts, least).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = stored(repeated.select("h", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")), "anchors")
-    copies = stored(_copies(texts), "copies")
+    copies = stored(_copies(_hashed(texts)).select("doc"), "copies")
     own = _anchor_rows(texts, least).join(repeated, "h").join(copies, "doc", "left_anti")
     per_document = own.groupBy("doc").agg(F.collect_list(F.struct("i", "n")).alias("repeated"))
     # Both joins read the same columns of the texts, so that one exchange serves both.

@@ -5,15 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import decontaminate, packing, simhash
+from almanac.llm import decontaminate, packing, passages, quality_trees, simhash
 from almanac.session import new_path
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labelled ones among them."""
+    return quality_trees.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     return simhash.one_per_group(docs)
 
 
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that nearly repeat one of an earlier document."""
+    return passages.without_passages(docs)
+
+
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
     return decontaminate.clean_of(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -25,7 +35,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", good_quality),
     ("simhash_near_dedup", near_copies),
+    ("substring_dedup", without_repeated_passages),
     ("benchmark_decontamination", benchmark_free),
     ("best_fit_packing", packed),
 ]
