@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.rows import per_slice, text_bytes
+from almanac.llm.rows import per_slice, small_batches, text_bytes
 
 Q = 8
 PROBE, STRIDE, SHORTEST = 96, 48, 40
@@ -204,5 +204,5 @@ def clean_of(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
                 clean = [not matches(normalized(texts[i].as_py()), shared.value) for i in range(batch.num_rows)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        kept = kept.mapInArrow(drop, docs.schema)
+        kept = small_batches(kept).mapInArrow(drop, docs.schema)
     return kept

@@ -24,7 +24,7 @@ END_ID = 1
 # Pieces that one task packs together; how many such lots there are follows from the input.
 LOT = 20_000
 # A worker keeps the ids of the short words of late, between one and two times so many.
-_CACHED_WORDS, _CACHED_LENGTH = 500_000, 40
+_CACHED_WORDS, _CACHED_LENGTH = 150_000, 40
 _LETTERS = re.compile(r"([A-Za-z]+)([!#$%&*,.:;?]*)")
 _caches: dict[str, tuple] = {}
 

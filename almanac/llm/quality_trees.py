@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.rows import per_slice, text_bytes, word_chunks
+from almanac.llm.rows import per_slice, small_batches, text_bytes, word_chunks
 
 # The statistics, in order.
 STATISTICS = [
@@ -200,4 +200,4 @@ def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
             x = np.array([statistics(texts[i].as_py()) for i in range(batch.num_rows)]).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(trees.value.score(x) >= 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)

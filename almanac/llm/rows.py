@@ -12,6 +12,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 SLICE = 256
+# Bytes that Spark sends to a Python worker at once; its default of 64 MB is held several times over by every task.
+BATCH_BYTES = 16 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -20,6 +23,14 @@ def text_bytes(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.col(text).cast("binary").alias("_text"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table; from now on its session sends batches of ``BATCH_BYTES`` at most, or of what it was set to below that."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(_LIMIT)) or 0) > BATCH_BYTES or conf.get(_LIMIT).startswith("-"):
+        conf.set(_LIMIT, f"{BATCH_BYTES}b")
+    return df
+
+
 def per_slice(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Apply ``function`` to slices of at most ``SLICE`` rows, as dictionaries of columns.
 
@@ -35,7 +46,7 @@ def per_slice(df: DataFrame, function: Callable[[dict[str, list]], dict[str, lis
                 out = function({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def word_chunks(data: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
