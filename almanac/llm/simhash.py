@@ -145,13 +145,16 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_per_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+def one_per_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """The rows of the smallest id of each near-duplicate group, all columns kept.
 
     Rows with the same id count once. Rows without an id cannot be named by a
     group: of these, one row of each distinct text is kept.
     """
-    groups = near_duplicates(docs, id_column, text, width, seed=42)
-    keep = groups.where(f"`{id_column}` = component_id").select(id_column).distinct()
-    named = semi_filter(docs, keep, [id_column]).dropDuplicates([id_column])
-    return named.unionByName(docs.where(F.col(id_column).isNull()).dropDuplicates([text]))
+    groups = near_duplicates(docs, id_column, text, width)
+    keep = groups.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("key")).distinct()
+    # A row travels as one column, so that no name of its columns can clash.
+    rows = docs.select(F.col(id_column).alias("key"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
+    named = semi_filter(rows, keep, ["key"]).dropDuplicates(["key"])
+    nameless = rows.where("key IS NULL").dropDuplicates(["text"])
+    return named.union(nameless).select("row.*")
