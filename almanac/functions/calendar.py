@@ -9,6 +9,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanac.functions.scalar import strip
 from almanac.session import with_row
 
 # Month abbreviations and full names, in calendar order.
@@ -50,8 +51,8 @@ def _literal_map(pairs: dict) -> Column:
 
 
 def clean_month_text(month: Column) -> Column:
-    """Upper-cased month text without surrounding blanks."""
-    return F.upper(F.trim(month))
+    """Upper-cased month text without surrounding white space."""
+    return F.upper(strip(month.cast("string")))
 
 
 def month_number(month: Column, strict: bool = False) -> Column:

@@ -31,6 +31,11 @@ def rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
+def strip(x: Column) -> Column:
+    """Text without white space of any kind at both ends."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def squash_text(x: Column) -> Column:
     """Trimmed text with every run of blanks as one blank."""
     return F.trim(F.regexp_replace(x, r"\s+", " "))
@@ -39,7 +44,7 @@ def squash_text(x: Column) -> Column:
 def composite_key(df: DataFrame, columns: Sequence[str]) -> Column:
     """Key text joined by a pipe: nulls and absent columns have their own marks."""
     parts = [
-        F.coalesce(F.trim(F.col(c).cast("string")), F.lit("__NA__")) if c in df.columns else F.lit("__MISSING_COLUMN__")
+        F.coalesce(strip(F.col(c).cast("string")), F.lit("__NA__")) if c in df.columns else F.lit("__MISSING_COLUMN__")
         for c in columns
     ]
     return F.concat_ws("|", *parts)

@@ -24,7 +24,7 @@ from almanac.functions.calendar import (
     valid_year,
 )
 from almanac.functions.levels import PSI_MODERATE, PSI_SIGNIFICANT
-from almanac.functions.scalar import composite_key, flag, rate
+from almanac.functions.scalar import flag, rate
 from almanac.operators.joins import semi_filter, union_all
 from almanac.operators.metrics import metrics_by
 from almanac.session import with_row
@@ -33,7 +33,7 @@ from almanac.spec import ScoreSpec
 PASS, REVIEW, FAIL = "PASS", "REVIEW", "FAIL"
 CHECK_COLUMNS = ["section", "check", "status", "value", "details"]
 
-# How many offending values a check spells out.
+# How many offending values the text of a check spells out; ``offending_values`` has all of them.
 _LISTED = 50
 
 
@@ -80,10 +80,16 @@ def _when(condition: Column, otherwise: str = FAIL) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), PASS).otherwise(otherwise)
 
 
+def offending_values(df: DataFrame, column: str, domain: Sequence) -> DataFrame:
+    """Every distinct value outside a closed domain, with its number of rows."""
+    outside = F.col(column).isNotNull() & ~F.col(column).isin(*domain)
+    return df.filter(outside).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def _listing(values: DataFrame, column: str) -> Column:
-    """Distinct values as text: the first ones spelled out, further ones hinted at.
+    """Distinct values as text: a top-k report, with a hint when there are more.
 
-    The values are a top-k of the distinct ones, so nothing unbounded is gathered.
+    The whole list is a table of its own, see ``offending_values``.
     """
     distinct = values.select(F.col(column).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
     first = distinct.orderBy("_v").limit(_LISTED + 1).agg(F.sort_array(F.collect_list("_v")).alias("a"))
@@ -183,7 +189,8 @@ def key_checks(name: str, df: DataFrame, keys: Sequence[str], month: str, strict
     any_null = F.lit(False)
     for k in keys:
         any_null = any_null | F.col(k).isNull()
-    groups = df.groupBy(composite_key(df, keys).alias("_key")).agg(
+    # By the columns themselves: joined text would merge keys that differ.
+    groups = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(any_null).alias("_null"),
         F.count_if(~valid_month(normalize_month(F.col(month)))).alias("_bad_month"),

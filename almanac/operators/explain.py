@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from almanac.operators.joins import union_all
 from almanac.operators.metrics import ranking_metrics
 from almanac.operators.models import add_probability
-from almanac.operators.ranking import row_rank
+from almanac.operators.ranking import order_rank, row_rank
 from almanac.session import durable
 from almanac.spec import ScoreSpec
 
@@ -27,26 +29,33 @@ def native_importance(df: DataFrame, model: PipelineModel, features: Sequence[st
     return row_rank(table, "importance", ["feature"])
 
 
+def _shuffled(rows: int, name: str, seed: int) -> tuple[int, int]:
+    """Factor and shift of the map i -> (factor * i + shift) mod rows, which moves every row once."""
+    factor = zlib.crc32(f"{name}/{seed}".encode()) | 1
+    while math.gcd(factor, max(rows, 1)) > 1:
+        factor += 2
+    return factor, zlib.crc32(f"{seed}/{name}".encode())
+
+
 def permutation_importance(
-    model: PipelineModel, df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str],
-    repeats: int = 3, sample: int = 3000, seed: int = 42,
+    model: PipelineModel, df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], repeats: int = 3, seed: int = 42,
 ) -> DataFrame:
-    """Loss of average precision when one feature's values are shuffled.
+    """Loss of average precision when one feature's values are shuffled over all rows.
 
-    Works on a sample, as permutation importance does: the rows with the smallest
-    hash of their key, so the choice repeats. Numbering rows is then bounded by
-    the sample size. All copies are scored in one job.
+    Rows are numbered once in the order of a hash of their key, by ranges, so no
+    task holds them all. A shuffle is a fixed one-to-one map of the numbers, and
+    values move by a join on the number. All copies are scored in one job.
     """
-    order = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
-    drawn = df.select(*keys, *features, target).orderBy(order, *keys).limit(sample)
-    # Every copy starts from the sample, so it is drawn once and stored.
-    numbered = durable(drawn.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys))))
+    hashed = df.select(*keys, *features, target).withColumn("_o", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
+    numbered = durable(order_rank(hashed, "_o", keys, "_i").select("_i", *features, target))
+    rows = numbered.count()
     copies = [numbered.select("_i", *features, target, F.lit("").alias("feature"), F.lit(0).alias("repeat"))]
     for f in features:
         for r in range(repeats):
-            shuffled = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.col("_i"), F.lit(f), F.lit(seed + r)), "_i")
-            values = numbered.select(F.row_number().over(shuffled).alias("_i"), F.col(f).alias("_value"))
-            moved = numbered.join(F.broadcast(values), "_i").withColumn(f, F.col("_value"))
+            factor, shift = _shuffled(rows, f, seed + r)
+            place = (F.lit(factor) * F.col("_i").cast("decimal(19,0)") + shift) % max(rows, 1) + 1
+            values = numbered.select(place.cast("long").alias("_i"), F.col(f).alias("_value"))
+            moved = numbered.join(values, "_i").withColumn(f, F.col("_value"))
             copies.append(moved.select("_i", *features, target, F.lit(f).alias("feature"), F.lit(r).alias("repeat")))
     scored = add_probability(model, union_all(*copies), "probability").withColumn("actual", F.col(target))
     quality = ranking_metrics(scored, ScoreSpec(), ["feature", "repeat"])

@@ -137,15 +137,15 @@ def metrics_by(
 def _metrics_with_ranking(df: DataFrame, score: ScoreSpec, threshold: float, by: Sequence[str]) -> DataFrame:
     """One scan for everything: rows become counts per distinct score first.
 
-    A missing probability is kept as score -1: it never alerts and ranks last, so
-    it counts in the confusion table and leaves the ranking metrics alone.
+    A missing probability is a score of its own: it never alerts, so it counts in
+    the confusion table and leaves the ranking metrics alone. Scores may be any number.
     """
     y, s = F.col(score.actual), F.col("_score")
-    counts = df.groupBy(*by, F.coalesce(F.col(score.probability).cast("double"), F.lit(-1.0)).alias("_score")).agg(
+    counts = df.groupBy(*by, F.col(score.probability).cast("double").alias("_score")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), F.count(F.lit(1)).alias("_rows")
     )
-    known = s >= 0
-    alerted = s >= threshold
+    known = s.isNotNull()
+    alerted = F.coalesce(s >= threshold, F.lit(False))
     weighed = F.when(known, F.col("_rows"))
     gaps = F.when(known, F.col("pos") * (1 - s) * (1 - s) + F.col("neg") * s * s)
     judged = F.when(known, F.col("pos") + F.col("neg"))
@@ -153,7 +153,8 @@ def _metrics_with_ranking(df: DataFrame, score: ScoreSpec, threshold: float, by:
     def total(condition: Column, column: str) -> Column:
         return F.sum(F.when(condition, F.col(column)).otherwise(0))
 
-    sums = _placed(counts, by).groupBy(*by).agg(
+    placed = _placed(counts.where(known), by).unionByName(counts.where(~known), allowMissingColumns=True)
+    sums = placed.groupBy(*by).agg(
         total(alerted, "pos").alias("true_positive"),
         total(alerted, "neg").alias("false_positive"),
         total(~alerted, "pos").alias("false_negative"),

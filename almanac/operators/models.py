@@ -41,13 +41,9 @@ def impute_mode(df: DataFrame, fit_df: DataFrame, columns: Sequence[str]) -> Dat
     """Nulls to the most frequent value of the fitting rows (smallest on ties)."""
     text = fit_df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
     counts = text.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("feature").agg(F.max("n").alias("top"))
-    modes = (
-        counts.join(F.broadcast(top), "feature")
-        .filter(F.col("n") == F.col("top"))
-        .groupBy()
-        .agg(*[F.min(F.when(F.col("feature") == c, F.col("value"))).alias(c) for c in columns])
-    )
+    # Rows of other features have no order and do not take part.
+    order = F.struct(-F.col("n"), F.col("value"))
+    modes = counts.agg(*[F.min_by("value", F.when(F.col("feature") == c, order)).alias(c) for c in columns])
     names = {f"_m_{c}": c for c in columns}
     return with_row(df, modes, names).withColumns(
         {c: F.coalesce(F.col(c).cast("string"), F.col(f"_m_{c}")) for c in columns}

@@ -40,10 +40,8 @@ TWO_TIER_LIMITS = Limits(0.10, 0.40, 1.0)
 FALLBACK_THRESHOLD = 0.09
 
 # Reasons written beside a selected policy.
-REASON_ALL = "Meets alert-rate, precision and recall constraints while maximizing F1."
-REASON_FALLBACK = (
-    "No threshold satisfies all constraints. Selected the best F1 subject to the alert-rate constraint where possible."
-)
+REASON_ALL = "All limits hold; of these thresholds this one has the highest F1."
+REASON_FALLBACK = "No threshold keeps every limit; this one has the highest F1 among those that keep the alert rate, if any do."
 
 BY_F1 = [("f1", True), ("precision", True), ("recall", True), ("threshold", True)]
 
@@ -134,8 +132,8 @@ def model_comparison(df: DataFrame, actual: str, columns: Sequence[str]) -> Data
 
 
 def choose_calibration(quality: DataFrame, kind: str = "probability_type") -> DataFrame:
-    """The calibrated probability of lowest Brier score; higher PR-AUC breaks ties."""
-    return best_row(quality, [("brier_score", False), ("pr_auc", True)])
+    """The calibrated probability of lowest Brier score; higher PR-AUC, then the first kind in order, breaks ties."""
+    return quality.orderBy(F.col("brier_score").asc_nulls_last(), F.col("pr_auc").desc_nulls_last(), F.col(kind)).limit(1)
 
 
 def final_policy(quality: DataFrame, selected: DataFrame, calibrated: Sequence[str]) -> DataFrame:

@@ -42,7 +42,7 @@ def order_rank(df: DataFrame, by: str, tie: Sequence[str], out: str = "rank", de
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     # One row per partition of the checkpoint.
     ranked = numbered.join(F.broadcast(offsets), "_part")
-    return ranked.withColumn(out, (F.col("_offset") + F.col("_pos") + 1).cast("int")).select(*df.columns, out)
+    return ranked.withColumn(out, F.col("_offset") + F.col("_pos") + 1).select(*df.columns, out)
 
 
 def row_rank(df: DataFrame, by: str, tie: Sequence[str], out: str = "rank", descending: bool = True) -> DataFrame:
@@ -62,7 +62,7 @@ def dense_rank_by(df: DataFrame, by: str, out: str = "risk_rank", descending: bo
     """
     distinct = df.groupBy(by).agg(F.lit(1).alias("_one")).filter(F.col(by).isNotNull())
     ranks = prefix_sums(distinct, [], by, ["_one"], bucket=value_bucket, descending=descending)
-    table = ranks.select(by, (F.col("_one_before") + 1).cast("int").alias(out))
+    table = ranks.select(by, (F.col("_one_before") + 1).cast("long").alias(out))
     return many_to_one(df, table, [by]).select(*df.columns, out)
 
 
@@ -84,11 +84,9 @@ def best_row(df: DataFrame, by: Sequence[tuple[str, bool]], partition: Sequence[
 
 
 def arg_max(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Key of the largest value; the smallest key wins a tie."""
-    top = df.agg(F.max(value).alias("_top"))
-    return df.join(F.broadcast(top), F.col(value) == F.col("_top")).agg(
-        F.min(key).alias(key), F.max(value).alias(value)
-    )
+    """Key of the largest value; the smallest key wins a tie. Missing values do not take part."""
+    known = df.filter(F.col(value).isNotNull())
+    return known.agg(F.min_by(key, F.struct(-F.col(value), F.col(key))).alias(key), F.max(value).alias(value))
 
 
 def top_slices(df: DataFrame, by: Sequence[tuple[str, bool]], k: int = 15, where: Column | None = None) -> DataFrame:
@@ -108,9 +106,10 @@ def top_errors(df: DataFrame, kind: str, probability: str, tie: Sequence[str], k
     return top_slices(df, [(probability, confident_first), *[(c, False) for c in tie]], k, F.col(label) == kind)
 
 
-def high_risk_alerts(df: DataFrame, alert: str, probability: str, year: str, month: str) -> DataFrame:
-    """All alerts, highest probability first, then latest."""
-    return df.filter(F.col(alert) == 1).orderBy(F.col(probability).desc(), F.col(year).desc(), F.col(month).desc())
+def high_risk_alerts(df: DataFrame, alert: str, probability: str, year: str, month: str, tie: Sequence[str] = ()) -> DataFrame:
+    """All alerts, highest probability first, then latest; ``tie`` is the rest of the row key."""
+    order = [F.col(probability).desc(), F.col(year).desc(), F.col(month).desc(), *[F.col(c).asc_nulls_last() for c in tie]]
+    return df.filter(F.col(alert) == 1).orderBy(*order)
 
 
 def high_risk_ranked(df: DataFrame, probability: str, threshold: float, tie: Sequence[str]) -> DataFrame:

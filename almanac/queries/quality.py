@@ -245,6 +245,14 @@ def _domain_check(spark, directory):
     return checks.domain_check(table(spark, directory, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"])
 
 
+@query(
+    "offending_values",
+    "SELECT o_orderpriority, count(*) AS rows FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') GROUP BY o_orderpriority",
+)
+def _offending(spark, directory):
+    return checks.offending_values(table(spark, directory, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"])
+
+
 @query("unexpected_values", "SELECT DISTINCT event_type FROM events WHERE event_type NOT IN ('click', 'view')")
 def _unexpected(spark, directory):
     return unexpected_values(table(spark, directory, "events"), "event_type", ["click", "view"])

@@ -131,3 +131,8 @@ def test_contracts(spark):
     with pytest.raises(ValueError, match="leakage"):
         clean.refuse_leakage(df, ["risk_score"])
     assert clean.drop_leakage(df, ["risk_score"]).columns == ["a"]
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    df = spark.createDataFrame([("\tJAN\r\n",), (" feb ",)], "m string")
+    assert [r[0] for r in df.select(calendar.month_number(F.col("m"))).collect()] == [1, 2]

@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from almanac.operators import calibration, distribution, drift, metrics, models, policy, ranking, slices
+from almanac.operators import calibration, checks, distribution, drift, metrics, models, policy, ranking, slices
 from almanac.operators.sweep import GRID_V4, Grid, GridList, threshold_sweep
 from almanac.spec import ScoreSpec
 
@@ -294,3 +294,30 @@ def test_policy_must_be_one_valid_row(spark):
     for bad in ([("sigmoid_probability", 1.0)], [("raw_probability", 0.1)], [("sigmoid_probability", 0.1)] * 2, [("sigmoid_probability", float("nan"))]):
         with pytest.raises(PySparkException, match="policy must be one row"):
             load(*bad)
+
+
+def test_any_score_is_ranked_alike(spark):
+    rows = [(-0.2, 0), (-0.5, 1), (0.4, 1), (0.1, 0), (None, 1)]
+    df = spark.createDataFrame(rows, "probability double, actual int")
+    one = metrics.metrics_by(df, ScoreSpec(), 0.3, ranking=True).first()
+    plain = metrics.metrics_by(df, ScoreSpec(), 0.3).first()
+    ranked = metrics.ranking_metrics(df.where("probability IS NOT NULL"), ScoreSpec()).first()
+    for c in ("average_probability", "brier_score", "true_positive", "false_negative", "true_negative"):
+        assert one[c] == pytest.approx(plain[c])
+    assert one.pr_auc == pytest.approx(ranked.pr_auc) and one.roc_auc == pytest.approx(ranked.roc_auc)
+
+
+def test_all_offending_values_are_listed(spark):
+    df = spark.range(59).select(F.concat(F.lit("v"), "id").alias("c")).union(spark.createDataFrame([("ok",), (None,)], "c string"))
+    assert checks.offending_values(df, "c", ["ok"]).count() == 59
+
+
+def test_different_keys_stay_apart(spark):
+    df = spark.createDataFrame([("a|b", "c", 1), ("a", "b|c", 1), ("__NA__", " x", 1), (None, "x", 1)], "k string, l string, m int")
+    found = {r.check: r for r in checks.key_checks("T", df, ["k", "l"], "m", strict=True).collect()}
+    assert not [r for c, r in found.items() if "DUPLICATE" in c and r.status != "PASS"]
+
+
+def test_arg_max_settles_ties(spark):
+    df = spark.createDataFrame([("b", 2.0), ("a", 2.0), ("c", 1.0), ("d", None)], "k string, v double")
+    assert ranking.arg_max(df, "k", "v").first().asDict() == {"k": "a", "v": 2.0}
