@@ -23,8 +23,8 @@ LIMIT = 4096
 END_ID = 1
 # Pieces that one task packs together; how many such lots there are follows from the input.
 LOT = 20_000
-# A worker keeps the ids of the short words of late, between one and two times so many.
-_CACHED_WORDS, _CACHED_LENGTH = 150_000, 40
+# A task keeps the ids of the short words of late, between one and two times so many.
+_CACHED_WORDS, _CACHED_LENGTH = 500_000, 40
 _LETTERS = re.compile(r"([A-Za-z]+)([!#$%&*,.:;?]*)")
 _caches: dict[str, tuple] = {}
 
@@ -97,8 +97,12 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID,
                     column.append(x)
         return out
 
+    def forget() -> None:
+        if path in _caches:
+            _caches[path] = (_caches[path][0], {}, {})
+
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    return per_slice(rows, compute, "id long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_column)
+    return per_slice(rows, compute, "id long, piece int, start long, length long, ids_crc32 long", forget).withColumnRenamed("id", id_column)
 
 
 def sum_of_squares(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:

@@ -31,11 +31,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def per_slice(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+def per_slice(
+    df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str, done: Callable[[], None] = lambda: None
+) -> DataFrame:
     """Apply ``function`` to slices of at most ``SLICE`` rows, as dictionaries of columns.
 
     Spark bounds a batch by bytes; the slices bound what Python objects a task
     holds beside it. The function is pure, so a lost task is simply run again.
+    ``done`` runs at the end of a task, to free what the function has kept.
     """
     target = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -45,6 +48,7 @@ def per_slice(df: DataFrame, function: Callable[[dict[str, list]], dict[str, lis
                 part = batch.slice(start, SLICE)
                 out = function({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
+        done()
 
     return small_batches(df).mapInArrow(run, schema)
 
