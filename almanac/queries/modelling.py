@@ -9,8 +9,9 @@ from almanac.plans import modelling, monitoring
 from almanac.plans import panel as plans
 from almanac.queries import sqlparts as sql
 from almanac.queries.registry import final, query
-from almanac.session import stored
+from almanac.session import new_path, stored
 from almanac.sources.adapters import quantity_panel, scored_lines
+from almanac.sources.io import load_model, save_model
 from almanac.spec import ScoreSpec
 
 SCORE = ScoreSpec()
@@ -180,6 +181,20 @@ def _logistic(spark, directory):
     return models.add_probability(model, rows).select(*_KEYS, "split", TARGET, "raw_probability")
 
 
+@query("model_artifact")
+def _artifact(spark, directory):
+    """Scores of a model before it is saved and after it is loaded again, by split."""
+    rows = _prepared(spark, directory)
+    model = models.fit_logistic(_train(rows), NUMERIC, plans.CATEGORICAL_FEATURES, TARGET, max_iter=50)
+    fit = calibration.fit_sigmoid(models.add_probability(model, rows.filter(F.col("split") == "VALIDATION")), ScoreSpec(actual=TARGET, probability="raw_probability"))
+    path = new_path(spark, "model")
+    save_model(model, fit, path)
+    loaded, curve = load_model(spark, path)
+    scored = models.add_probability(loaded, models.add_probability(model, rows, "before"), "after")
+    same = fit.apply(F.col("before")) == curve.apply(F.col("after"))
+    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(same, F.lit(False))).alias("differing"))
+
+
 _GBT = {"maxIter": 10, "maxDepth": 3}
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.functions.calendar import MONTH_NAMES
+from almanac.operators.calibration import SigmoidFit
 from almanac.operators.clean import require_columns
 from almanac.operators.models import valid_policy
 
@@ -62,6 +64,24 @@ def write_json_artifact(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+_FIT = "slope double, intercept double"
+
+
+def save_model(model: PipelineModel, fit: SigmoidFit, path: str) -> None:
+    """A fitted pipeline and its calibration, side by side: the pipeline in Spark's format, the curve as JSON."""
+    model.write().overwrite().save(f"{path}/pipeline")
+    spark = SparkSession.active()
+    write_json_artifact(spark.createDataFrame([(fit.slope, fit.intercept)], _FIT).coalesce(1), f"{path}/calibration")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, SigmoidFit]:
+    """What ``save_model`` wrote; scoring it gives the same numbers as before."""
+    row = spark.read.schema(_FIT).json(f"{path}/calibration").first()
+    if row is None:
+        raise ValueError(f"no calibration in {path}")
+    return PipelineModel.load(f"{path}/pipeline"), SigmoidFit(row["slope"], row["intercept"])
+
+
 def load_policy(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """The one-row policy; anything else raises when it is used."""
     reader = spark.read.format(fmt)

@@ -36,3 +36,8 @@ def test_entry(spark):
 
 def test_sql_names_are_queries():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_a_loaded_model_scores_as_the_saved_one(spark, small):
+    found = contract.queries()["model_artifact"](spark, small).collect()
+    assert sum(r.rows for r in found) > 0 and all(r.differing == 0 for r in found)
