@@ -169,6 +169,16 @@ def test_passages_hold_planted_ones_and_leave_others(make, corpus, monkeypatch,
     assert passages.near_passages(make(corpus).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [256, 2])
+def test_short_passage_in_a_thousand_documents(make, monkeypatch, crowd):
+    monkeypatch.setattr(passages, "CROWD", crowd)
+    rng = random.Random(12)
+    passage = words(rng, 50)
+    corpus = [f"{words(rng, 60)} {passage} {words(rng, 60)}" for _ in range(1000)]
+    found = {r.doc_id for r in passages.near_passages(make(corpus)).collect() if r.start_word <= 60 and r.start_word + r.n_words >= 110}
+    assert found == set(range(1, 1000))
+
+
 @pytest.mark.parametrize("few", [4, 1])
 def test_monotonous_passages(make, monkeypatch, few):
     monkeypatch.setattr(passages, "FEW", few)
