@@ -2,7 +2,8 @@
 
 A pattern rule names literal tokens that every URL it matches contains. Of these
 the one that fewest pages have is its key; the tokens of a URL fetch the rules
-whose key they are, and only those run their regular expression.
+whose key they are, and only those run their regular expression. A rule that
+matches inside longer tokens has no key, and is tried on every URL.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``tokens`` are runs of letters and digits (lower case) that stand alone in every matching URL."""
+    """``tokens`` are runs of letters and digits (lower case) that stand alone in every matching URL: the pattern has a sign or an end of
+    the URL on both sides of them. Without any, the rule is tried on every URL."""
 
     name: str
     tokens: tuple[str, ...]
@@ -41,19 +43,19 @@ HOST_RULES = (
 # Patterns see the lower-cased URL: hosts that sell, bet, track or show adult matter, and pages without an article.
 PATTERN_RULES = (
     PatternRule("pills", ("cheap", "pills"), r"://([^/?#]*[.])?cheap-pills[.]"),
-    PatternRule("pharmacy", ("online", "pharmacy"), r"://[^/?#]*online-pharmacy"),
+    PatternRule("pharmacy", (), r"://[^/?#]*online-pharmacy"),
     PatternRule("casino", ("casino", "win"), r"://([^/?#]*[.])?casino-win[.]"),
-    PatternRule("casino_bonus", ("casino", "bonus"), r"casino-bonus"),
+    PatternRule("casino_bonus", (), r"casino-bonus"),
     PatternRule("bets", ("free", "bets"), r"://([^/?#]*[.])?free-bets[.]"),
-    PatternRule("sports_bets", ("sports", "bets"), r"sports-bets"),
+    PatternRule("sports_bets", (), r"sports-bets"),
     PatternRule("ads", ("ads", "track"), r"://([^/?#]*[.])?ads-track[.]"),
-    PatternRule("click", ("click", "tracker"), r"://[^/?#]*click-tracker"),
+    PatternRule("click", (), r"://[^/?#]*click-tracker"),
     PatternRule("spam", ("spam", "farm"), r"://([^/?#]*[.])?spam-farm[.]"),
-    PatternRule("links", ("link", "farm"), r"://[^/?#]*link-farm"),
+    PatternRule("links", (), r"://[^/?#]*link-farm"),
     PatternRule("adult", ("adult", "x"), r"://([^/?#]*[.])?adult-x[.]"),
-    PatternRule("adult_video", ("adult", "videos"), r"adult-videos"),
-    PatternRule("crack", ("keygen", "download"), r"keygen.*download|download.*keygen"),
-    PatternRule("cart", ("cart", "checkout"), r"/cart/checkout"),
+    PatternRule("adult_video", (), r"adult-videos"),
+    PatternRule("crack", (), r"keygen.*download|download.*keygen"),
+    PatternRule("cart", ("cart",), r"/cart/checkout"),
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,14 +84,14 @@ def tokens(url: Column) -> Column:
 
 
 def rarest(pages: DataFrame, rules: Sequence[PatternRule], url: str = "url") -> dict[str, list[int]]:
-    """Key token -> numbers of its rules. The counts are over all pages; the result is bounded by the rules."""
+    """Key token -> numbers of its rules; those of rules without a token are under "". The counts are over all pages; the result is bounded by the rules."""
     wanted = sorted({t for r in rules for t in r.tokens})
     lowered = F.translate(F.coalesce(F.col(url), F.lit("")), _UPPER, _LOWER)
-    held = pages.select(F.array_intersect(tokens(lowered), F.array(*[F.lit(t) for t in wanted])).alias("t"))
+    held = pages.select(F.array_intersect(tokens(lowered), F.array(*[F.lit(t) for t in wanted]).cast("array<string>")).alias("t"))
     counts = {r["t"]: r["n"] for r in held.select(F.explode("t").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     keys: dict[str, list[int]] = {}
     for number, rule in enumerate(rules):
-        keys.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(number)
+        keys.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t), default=""), []).append(number)
     return keys
 
 
@@ -117,7 +119,9 @@ def verdicts(
     patterns = F.array(*[F.lit(r.pattern) for r in pattern_rules])
     names = F.array(*[F.lit(r.name) for r in pattern_rules])
     lowered = F.translate(F.coalesce(F.col("_url"), F.lit("")), _UPPER, _LOWER)
-    fetched = F.flatten(F.filter(F.transform(tokens(F.col("_low")), lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull()))
+    # No token is empty; the rules under "" are fetched by every URL.
+    asked = F.array_append(tokens(F.col("_low")), F.lit(""))
+    fetched = F.flatten(F.filter(F.transform(asked, lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull()))
     matched = F.filter(F.array_sort(F.array_distinct(fetched)), lambda i: F.rlike(F.col("_low"), F.get(patterns, i)))
     rows = rows.select(page_id, host.alias("host"), path.alias("path"), lowered.alias("_low")).withColumn("_matched", matched)
     method = F.when(F.size("_matched") > 0, F.lit("block")).otherwise(F.lit("allow"))

@@ -112,6 +112,18 @@ def test_url_rules_are_indexed_by_their_rarest_token(spark):
     assert url_rules.rarest(pages, rules) == {"bonus": [0], "casino": [1]}
 
 
+def test_url_rules_match_with_letters_put_before_and_after(spark):
+    texts = ["cheap-pills.", "online-pharmacy", "casino-win.", "casino-bonus", "free-bets.", "sports-bets", "ads-track.", "click-tracker", "spam-farm.", "link-farm", "adult-x.", "adult-videos", "keygen-download", "download/keygen"]
+    ends = [("", ""), ("x", ""), ("", "s"), ("back", "er"), ("a.", "com"), ("7", "7")]
+    urls = [f"http://{a}{t}{b}.com/{u}" for t in texts for a, b in ends for u in ("", f"{a}{t}{b}")] + [f"http://a.com/{t}" for t in texts] + [f"http://a.com{a}/cart/checkout{b}" for a, b in ends]
+    # Tokens of the spam hosts are made common, so that other tokens of the rules are the rarest.
+    for common in ([], ["http://spam-farm.com/farm"] * 300, ["http://link.com/link"] * 300):
+        pages = spark.createDataFrame(list(enumerate(urls + common)), "page_id long, url string")
+        got = url_rules.verdicts(pages).toPandas()
+        against_sql(got, url_rules.verdicts_sql(), pages=pages.toPandas())
+        assert got[got.page_id == urls.index("http://backlink-farmer.com/")].patterns.tolist() == ["links"]
+
+
 def test_license_scan(make):
     texts = [
         *EDGES, "The MIT License, the mit-license and MIT\nLICENSE.", "Released under the MIT License.", "GNU General Public License", "Apache  license apache LICENSE",
