@@ -47,6 +47,19 @@ def test_template_text_of_a_host_is_left_out(spark):
     assert got[10].startswith("Welcome") and got[20].startswith("Welcome")
 
 
+def test_names_inside_an_article_are_not_taken_by_single_words(spark):
+    page = """<body><div id="sidebar">side</div><article><h2 id="how-to-subscribe">How to subscribe</h2><section id="related-work"><h2 class="search-title">Related work</h2><p>Others {0}</p></section>
+<div id="search-algorithms"><p>Algorithms {0}</p></div><section id="search">Search {0}</section><div class="skip-lists">Lists {0}</div><div class="notice-text">Read our terms</div>
+<div class="related-posts"><p>more {0}</p></div><div class="ad">buy</div><div id="comments">nice {0}</div></article></body>"""
+    rng = random.Random(3)
+    own = [words(rng, 5) for _ in range(4)]
+    got = text_of(spark, [(i, f"http://h.com/{i}", page.format(w)) for i, w in enumerate(own)] + [(9, "http://one.com", page.format("x"))])
+    want = "How to subscribe\n\nRelated work\n\nOthers {0}\n\nAlgorithms {0}\n\nSearch {0}\n\nLists {0}"
+    # The title is on every page of the host, in an element that the list names in part.
+    assert all(got[i] == want.replace("Related work\n\n", "").format(w) for i, w in enumerate(own))
+    assert got[9] == want.format("x") + "\n\nRead our terms"
+
+
 def test_deep_and_long_pages_are_parsed():
     assert len(html_template.parse("<div>" * 3000 + "x" + "<p>y" * 2000).blocks) == 2001
     assert html_template.parse("<a href='" + "b" * 100000).blocks == []
