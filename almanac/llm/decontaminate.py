@@ -2,14 +2,17 @@
 
 A stretch of a benchmark item (a probe) of m bytes that occurs with at most e edits
 shares at least m + 1 - q (e + 1) q-grams with its place in the document, all on
-diagonals (place in the document minus place in the probe) at most e apart. So the
-shared q-grams are counted per probe and band of diagonals; bands overlap by half,
-so that one of them holds the whole match. Bands that reach the bound are verified
-by an alignment within the band.
+diagonals (place in the document minus place in the item) at most e apart. So the
+shared q-grams are counted per item and band of diagonals; bands overlap by half,
+so that one of them holds the whole match. In bands that reach the bound they are
+counted per probe, and probes that reach it are verified by an alignment within
+the band. Probes start every ``STRIDE`` bytes, so that an excerpt of
+``PROBE + STRIDE - 1`` bytes holds one, wherever it is from.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import partial, reduce
@@ -22,20 +25,29 @@ from pyspark.sql import functions as F
 from almanac.llm.rows import per_slice, small_batches, text_bytes
 
 Q = 8
-PROBE, STRIDE, SHORTEST = 96, 48, 40
+PROBE, STRIDE, SHORTEST = 96, 8, 40
+# Items below this are also searched as a whole.
+WHOLE = 144
 EDITS = 0.08
 BAND = 32
 # Benchmark bytes that are searched in one pass over the documents, and sent to every worker.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _STRETCH, _OVERLAP, _POSTINGS = 1 << 22, 1 << 10, 1 << 22
 _SAME = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
 _BITS = 22
+_BLANKS = re.compile(b"  +")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalized(data: bytes | None) -> bytes:
-    """Lower-case ASCII letters and blanks for white space; every byte keeps its place."""
-    return (data or b"").translate(_SAME)
+    """Lower-case ASCII letters, and one blank for each run of white space."""
+    return _BLANKS.sub(b" ", (data or b"").translate(_SAME))
+
+
+def _original(data: bytes) -> np.ndarray:
+    """Where each byte of the normalised text stands in the text."""
+    blank = np.frombuffer(data.translate(_SAME), np.uint8) == 32
+    return np.flatnonzero(~(blank & np.append(False, blank[:-1])))
 
 
 def _codes(data: bytes) -> np.ndarray:
@@ -52,37 +64,49 @@ class Index:
 
     items: list  # item of each probe
     probes: list[bytes]
+    starts: np.ndarray  # of each probe, its place in the item
+    sizes: np.ndarray
     edits: np.ndarray
-    least: np.ndarray  # q-grams that a match shares at least
+    least: np.ndarray  # q-grams that a match of a probe shares at least
+    bounds: np.ndarray  # first probe of each text
+    enough: np.ndarray  # of each text, the smallest bound of its probes
+    longest: int
     grams: np.ndarray  # sorted, distinct
     first: np.ndarray  # of each q-gram, its first posting
-    probe_of: np.ndarray
+    text_of: np.ndarray
     place_of: np.ndarray
     seen: np.ndarray  # small table that rules most q-grams out
 
 
 def index(items: list[tuple[int, bytes]]) -> Index:
-    """Probes: a short item as a whole, else overlapping stretches up to its end."""
-    owners, probes = [], []
-    for item, data in items:
-        text = normalized(data).strip(b" ")
-        if len(text) < SHORTEST:
-            continue
-        starts = [0] if len(text) < PROBE + STRIDE else sorted({*range(0, len(text) - PROBE, STRIDE), len(text) - PROBE})
-        for start in starts:
+    """Probes: a short item as a whole, and overlapping stretches up to the end of one that is longer than a stretch."""
+    texts = [(item, text) for item, text in ((item, normalized(data).strip(b" ")) for item, data in items) if len(text) >= SHORTEST]
+    owners, probes, starts, bounds = [], [], [], [0]
+    for item, text in texts:
+        own = [(start, PROBE) for start in sorted({*range(0, len(text) - PROBE, STRIDE), len(text) - PROBE})] if len(text) > PROBE else []
+        if len(text) < WHOLE:
+            own.append((0, len(text)))
+        for start, size in own:
             owners.append(item)
-            probes.append(text if len(starts) == 1 else text[start : start + PROBE])
+            probes.append(text[start : start + size])
+            starts.append(start)
+        bounds.append(len(probes))
     sizes = np.array([len(p) for p in probes], np.int64)
     edits = (sizes * EDITS).astype(np.int64)
-    codes = np.concatenate([_codes(p) for p in probes]) if probes else np.empty(0, np.uint64)
-    counts = sizes - Q + 1
-    probe_of = np.repeat(np.arange(len(probes)), counts)
-    place_of = np.concatenate([np.arange(n) for n in counts]) if probes else np.empty(0, np.int64)
+    least = sizes + 1 - Q * (edits + 1)
+    enough = np.array([least[a:b].min() for a, b in zip(bounds, bounds[1:])], np.int64)
+    lengths = np.array([len(t) - Q + 1 for _, t in texts], np.int64)
+    codes = np.concatenate([_codes(t) for _, t in texts]) if texts else np.empty(0, np.uint64)
+    text_of = np.repeat(np.arange(len(texts)), lengths)
+    place_of = np.concatenate([np.arange(n) for n in lengths]) if texts else np.empty(0, np.int64)
     order = np.argsort(codes, kind="stable")
     grams, first = np.unique(codes[order], return_index=True)
     seen = np.zeros(1 << _BITS, bool)
     seen[(grams * _ODD) >> np.uint64(64 - _BITS)] = True
-    return Index(owners, probes, edits, sizes + 1 - Q * (edits + 1), grams, np.append(first, len(codes)), probe_of[order], place_of[order], seen)
+    longest = max((len(t) for _, t in texts), default=0)
+    return Index(
+        owners, probes, np.array(starts, np.int64), sizes, edits, least, np.array(bounds), enough, longest, grams, np.append(first, len(codes)), text_of[order], place_of[order], seen
+    )
 
 
 def edit_distance(probe: bytes, region: bytes, limit: int) -> tuple[int, int] | None:
@@ -103,9 +127,10 @@ def edit_distance(probe: bytes, region: bytes, limit: int) -> tuple[int, int] |
     return (int(row[end]), end) if row[end] <= limit else None
 
 
-def matches(data: bytes, found: Index) -> dict[tuple[int, int], tuple[int, int, int]]:
-    """Of one normalised text: (probe, band) -> edits, start, end of each verified region."""
+def matches(data: bytes, found: Index, one: bool = False) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Of one normalised text: (probe, end) -> edits, start, end of each verified region, or of the first one found."""
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
+    offset = -(-found.longest // BAND) * BAND
     todo = [(at, min(_STRETCH, len(data) - at)) for at in range(0, len(data), _STRETCH)]
     while todo:
         origin, size = todo.pop()
@@ -126,20 +151,33 @@ def matches(data: bytes, found: Index) -> dict[tuple[int, int], tuple[int, int,
         if not total:
             continue
         posting = np.repeat(found.first[at] - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(total)
-        probe = found.probe_of[posting]
-        diagonal = np.repeat(places, lengths) - found.place_of[posting] + _OVERLAP
+        text, inner = found.text_of[posting], found.place_of[posting]
+        diagonal = np.repeat(places, lengths) - inner + offset
         for shift in (0, BAND // 2):
-            band = (diagonal + shift) // BAND
-            keys, counts = np.unique(probe * (1 << 32) + band, return_counts=True)
-            for key in keys[counts >= found.least[keys >> 32]]:
-                p, low = int(key >> 32), (int(key) & 0xFFFFFFFF) * BAND - shift - _OVERLAP
-                start = max(0, low - int(found.edits[p]))
-                region = stretch[start : low + BAND + len(found.probes[p]) + int(found.edits[p])]
-                verified = edit_distance(found.probes[p], region, int(found.edits[p]))
-                if verified:
-                    edits, end = verified
-                    stop = origin + start + end
-                    out[p, stop] = (edits, max(0, stop - len(found.probes[p])), stop)
+            keys, which, counts = np.unique(text * (1 << 32) + (diagonal + shift) // BAND, return_inverse=True, return_counts=True)
+            chosen = np.flatnonzero(counts >= found.enough[keys >> 32])
+            if not len(chosen):
+                continue
+            kept = np.zeros(len(keys), bool)
+            kept[chosen] = True
+            hits = np.flatnonzero(kept[which])
+            hits = hits[np.lexsort((inner[hits], which[hits]))]
+            ends = np.cumsum(counts[chosen])
+            for key, end, count in zip(keys[chosen].tolist(), ends.tolist(), counts[chosen].tolist()):
+                own, low = inner[hits[end - count : end]], (key & 0xFFFFFFFF) * BAND - shift - offset
+                a, b = found.bounds[key >> 32], found.bounds[(key >> 32) + 1]
+                starts, sizes = found.starts[a:b], found.sizes[a:b]
+                shared = np.searchsorted(own, starts + sizes - Q, "right") - np.searchsorted(own, starts)
+                for p in (a + np.flatnonzero(shared >= found.least[a:b])).tolist():
+                    limit, first = int(found.edits[p]), low + int(found.starts[p])
+                    start = max(0, first - limit)
+                    region = stretch[start : max(0, first + BAND + len(found.probes[p]) + limit)]
+                    verified = edit_distance(found.probes[p], region, limit)
+                    if verified:
+                        edits, stop = verified[0], origin + start + verified[1]
+                        out[p, stop] = (edits, max(0, stop - len(found.probes[p])), stop)
+                        if one:
+                            return out
     return out
 
 
@@ -183,6 +221,8 @@ def contaminated(
                 by_item.setdefault(found.items[p], []).append((p, match))
             for item, own in sorted(by_item.items(), key=lambda x: (x[0] is None, x[0])):
                 start, stop = min(m[1] for _, m in own), max(m[2] for _, m in own)
+                place = _original(data)
+                start, stop = int(place[start]), int(place[stop - 1]) + 1
                 begin = _characters(data, start)
                 row = (key, item, sizes[item], len({p for p, _ in own}), min(m[0] for _, m in own), begin, _characters(data, stop) - begin)
                 for column, x in zip(out.values(), row):
@@ -201,7 +241,7 @@ def clean_of(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         def drop(batches, shared=shared):
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-                clean = [not matches(normalized(texts[i].as_py()), shared.value) for i in range(batch.num_rows)]
+                clean = [not matches(normalized(texts[i].as_py()), shared.value, one=True) for i in range(batch.num_rows)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         kept = small_batches(kept).mapInArrow(drop, docs.schema)

@@ -175,6 +175,20 @@ def test_benchmark_passages(make, spark, monkeypatch):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_excerpts_from_any_place_and_wrapped_ones_are_found(make, spark):
+    rng = random.Random(16)
+    item = words(rng, 60)[:300].strip()
+    middle = words(rng, 40)[:130].strip()
+    bench = spark.createDataFrame([(1, item), (2, middle)], "item_id long, text string")
+    places = range(0, len(item) - 115)
+    docs = [f"{words(rng, 9)}| {item[at : at + 115]} |{words(rng, 9)}" for at in places] + [f"é {words(rng, 9)} {middle[12:120]} {words(rng, 9)}", "é  x\n" + item.replace(" ", " \n    ") + "  y"]
+    got = {r.doc_id: r for r in decontaminate.contaminated(make(docs), bench).collect()}
+    assert set(got) == set(range(len(docs)))
+    last = got[len(docs) - 1]
+    assert docs[-1][last.start : last.start + last.length] == item.replace(" ", " \n    ") and last.edits == 0
+    assert decontaminate.clean_of(make(docs), bench).count() == 0
+
+
 def test_edit_distance_and_monotonous_text(monkeypatch):
     assert decontaminate.edit_distance(b"abcdef", b"xxabcdefyy", 0) == (0, 8)
     assert decontaminate.edit_distance(b"abcdef", b"xxabXdefyy", 1) == (1, 8)
