@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import decontaminate, html_template, license_scan, packing, passages, quality_rules, quality_trees, repeats, simhash, url_rules
+from almanac.llm import (
+    decontaminate, html_template, license_scan, packing, passages, quality_rules, quality_trees, repeats, simhash, source_audit, topk_search,
+    url_rules, vector_codes,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,3 +96,21 @@ def op8(spark: SparkSession, directory: str) -> DataFrame:
 def op9(spark: SparkSession, directory: str) -> DataFrame:
     """Passages of all documents that nearly repeat a passage of an earlier one."""
     return passages.near_passages(table(spark, directory, "documents"))
+
+
+@query("op11_walsh_codes", vector_codes.compressed_sql())
+def op11(spark: SparkSession, directory: str) -> DataFrame:
+    """A code and its squared error for every vector."""
+    return vector_codes.compressed(table(spark, directory, "embeddings"))
+
+
+@query("op12_quadtree_audit", source_audit.audit_sql())
+def op12(spark: SparkSession, directory: str) -> DataFrame:
+    """Differences between the vocabularies of sources, and the leading terms of each."""
+    return source_audit.audit(table(spark, directory, "documents"))
+
+
+@query("op13_term_at_a_time", topk_search.search_sql())
+def op13(spark: SparkSession, directory: str) -> DataFrame:
+    """The ten largest inner products of every hundredth vector."""
+    return topk_search.search(table(spark, directory, "embeddings"))
