@@ -167,7 +167,7 @@ def _tile(table: pa.Table, top: int) -> pa.Table:
         body = (data["side"] == side) & (data["col"] >= 0) & (data["place"] >= 0)
         trees.append(Quadtree(data["place"][body], data["col"][body], data["p"][body], data["p"][head], width))
         sources.append(names.take(pa.array(head)).combine_chunks())
-    single = not trees[1].rows
+    single = table["x"][0].as_py() == table["y"][0].as_py()
     a, b = trees[0], trees[0] if single else trees[1]
     sums = differences(a, b)
     g, h = np.nonzero(np.triu(np.ones(sums.shape, bool), 1)) if single else (x.ravel() for x in np.indices(sums.shape))
