@@ -35,7 +35,7 @@ def _accumulate(queries: np.ndarray, postings: list[tuple[np.ndarray | None, np.
         asking = np.flatnonzero(queries[:, j])
         if not len(asking) or not len(weights):
             continue
-        if places is None and len(asking) == len(queries):
+        if places is None and 2 * len(asking) >= len(queries):
             np.multiply(queries[:, j, None], weights, out=product)
             scores += product
         else:
@@ -45,12 +45,12 @@ def _accumulate(queries: np.ndarray, postings: list[tuple[np.ndarray | None, np.
 
 
 def _postings(candidates: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
-    """Per term the candidates that hold it, None for all of them, and their weights."""
+    """Per term the candidates that hold it and their weights; a term of most candidates is a full column, without places."""
     found = []
     for j in range(candidates.shape[1]):
         column = np.ascontiguousarray(candidates[:, j])
         places = np.flatnonzero(column)
-        found.append((None, column) if len(places) == len(column) else (places, column[places]))
+        found.append((None, column) if 2 * len(places) >= len(column) > 0 else (places, column[places]))
     return found
 
 
