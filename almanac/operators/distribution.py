@@ -1,31 +1,69 @@
-"""Exact running sums and quantiles that never sort a whole group in one task.
-
-Both work in two levels. A monotone bucket of the value splits every group into
-a bounded number of ordered pieces; bucket totals give each piece its offset; the
-work inside a piece is local. Results are exact: buckets only decide where work
-happens. Nothing depends on sampling or on partition numbers, so a recomputed
-task gives the same rows.
+"""Exact running sums, ranks and quantiles that never sort a whole group in one task.
+
+Running sums and ranks work on ordered pieces. Split points are drawn from the keys
+themselves: a sample chosen by the hash of the key, so every distinct key has the
+same chance however the values crowd, and a repeated run draws the same points.
+Piece totals give each piece its offset; the work inside a piece is local.
+Quantiles work on a monotone bucket of the value instead. Results are exact:
+pieces and buckets only decide where work happens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.operators.joins import null_safe_join
+from almanac.session import stored, with_row
 
-# Linear buckets for probabilities: at most 2**20 per group.
-_SCORE_BUCKETS = 1 << 20
-# Logarithmic buckets for other values: 16384 per e-fold of magnitude.
+# Rows that one piece should hold, the most pieces there are, and the sampled keys for each of them.
+PIECE_ROWS = 50_000
+MOST_PIECES = 4096
+_DRAWN = 64
+# Logarithmic buckets for values: 16384 per e-fold of magnitude.
 _FOLD_BUCKETS = 16384
 
 
-def score_bucket(p: Column) -> Column:
-    """Monotone bucket of a value that mostly lies in [0, 1]."""
-    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p.cast("double")))
-    return F.floor(inside * _SCORE_BUCKETS).cast("long")
+def ordered(value: Column, descending: bool = False) -> list[Column]:
+    """Columns whose ascending order is the order of a number; NULL is last, NaN counts as the largest."""
+    if not descending:
+        return [value.isNull(), value]
+    return [value.isNull(), F.when(F.isnan(value.cast("double")), 0).otherwise(1), -value]
+
+
+def points_below(points: Column, key: Column, most: int) -> Column:
+    """How many of at most ``most`` sorted points are at or below the key, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+
+    def move(at: Column, step: Column) -> Column:
+        here = F.get(points, at + step - 1)
+        return F.when(here.isNotNull() & (here <= key), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), move)
+
+
+def in_pieces(df: DataFrame, order: Sequence[Column], piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, int]:
+    """The table, stored once, with the number of its ordered piece in ``_piece``; and how many pieces there are.
+
+    The keys in ``order`` should be distinct. The table is written, so what stands
+    before it runs once; split points then come from a scan of its key columns.
+    At most ``MOST_PIECES`` points of a sample of bounded size travel to the tasks.
+    """
+    kept = stored(df, "ordered")
+    rows = kept.count()
+    pieces = min(MOST_PIECES, -(-rows // piece_rows))
+    if pieces <= 1:
+        return kept.withColumn("_piece", F.lit(0)), 1
+    fields = [c.alias(f"o{i}") for i, c in enumerate(order)]
+    share = min(1.0, pieces * _DRAWN / rows)
+    drawn = kept.select(*fields).where(F.pmod(F.xxhash64(*[f"o{i}" for i in range(len(fields))]), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
+    sample = drawn.agg(F.sort_array(F.collect_list(F.struct(*[f"o{i}" for i in range(len(fields))]))).alias("all"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(pieces - 1)), lambda i: F.get("all", F.floor(i * F.size("all") / pieces).cast("int")))
+    points = stored(sample.select(F.array_distinct(at).alias("points")), "points")
+    placed = with_row(kept.withColumn("_key", F.struct(*fields)), points, {"_points": "points"})
+    return placed.withColumn("_piece", points_below(F.col("_points"), F.col("_key"), pieces)).drop("_key", "_points"), pieces
 
 
 def value_bucket(v: Column) -> Column:
@@ -55,33 +93,28 @@ def _over(keys: Sequence[str]) -> list:
 
 
 def prefix_sums(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    sums: Sequence[str],
-    bucket: Callable[[Column], Column] = score_bucket,
-    descending: bool = False,
+    df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], descending: bool = False, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Add ``<name>_before``: the sum over all rows that precede in value order.
 
     ``df`` must hold one row per (keys, value), the usual result of a groupBy.
     """
-    # Never NULL: otherwise the join would add a null filter to one side only, and
-    # the grouping below both sides would run twice instead of being reused.
-    step = F.coalesce(-bucket(F.col(value)) if descending else bucket(F.col(value)), F.lit(0))
-    placed = df.withColumn("_bucket", step)
-    totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    # At most one row per bucket and group: a bounded window.
-    earlier = Window.partitionBy(*_over(keys)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    order = ordered(F.col(value), descending)
+    placed, pieces = in_pieces(df, [*[F.col(k) for k in keys], *order], piece_rows)
+    within = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = {s: F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sums}
+    if pieces == 1:
+        return placed.withColumns({f"{s}_before": c for s, c in local.items()}).drop("_piece")
+    totals = placed.groupBy(*keys, "_piece").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    # At most one row per piece and group: a bounded window.
+    earlier = Window.partitionBy(*_over(keys)).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_bucket", *[F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_{s}_offset") for s in sums]
+        *keys, "_piece", *[F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_{s}_offset") for s in sums]
+    )
+    joined = null_safe_join(placed, offsets, keys, equal=["_piece"])
+    return joined.withColumns({f"{s}_before": F.col(f"_{s}_offset") + c for s, c in local.items()}).drop(
+        "_piece", *[f"_{s}_offset" for s in sums]
     )
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    within = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = null_safe_join(placed, offsets, keys, equal=["_bucket"])
-    return joined.withColumns(
-        {f"{s}_before": F.col(f"_{s}_offset") + F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sums}
-    ).drop("_bucket", *[f"_{s}_offset" for s in sums])
 
 
 def quantiles(

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.levels import PSI_LABELS, PSI_LABELS_V4, PSI_MODERATE, PSI_SIGNIFICANT, psi_class
 from almanac.functions.scalar import PSI_EPSILON, flag, psi_term, rate
-from almanac.operators.distribution import even_steps, quantiles
+from almanac.operators.distribution import even_steps, interpolate, prefix_sums, value_bucket
 from almanac.operators.joins import union_all
 from almanac.operators.ranking import row_rank
+from almanac.session import stored, with_row
 
 # PSI needs this many rows per period; quantile bins per feature.
 MIN_PSI_ROWS = 20
@@ -66,52 +68,123 @@ def _psi_from_bins(bins: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _binned(long: DataFrame, edges: DataFrame, periods: Periods, closed_left: bool, most_edges: int) -> DataFrame:
-    """Counts per feature and bin; bin = number of inner edges below the value."""
-    # One row per feature: bounded by the number of columns.
-    placed = long.join(F.broadcast(edges), "feature")
-    position = F.lit(0)
-    for i in range(most_edges):
-        edge = F.get(F.col("_inner"), F.lit(i))
-        position = position + flag(edge <= F.col("value") if closed_left else edge < F.col("value"))
-    return placed.groupBy("feature", position.alias("_bin")).agg(
-        F.count_if(periods.is_reference()).alias("_ref"), F.count_if(periods.is_current()).alias("_cur")
-    )
+def period_histogram(df: DataFrame, features: Sequence[str], periods: Periods = Periods()) -> DataFrame:
+    """``feature, _bucket, _ref, _cur``: rows of either period in every value bucket, stored.
+
+    The one pass that spreads rows by feature. Counts add up map-side, and the
+    number of buckets is bounded however many rows there are.
+    """
+    long = _long(df, features, periods).filter(_finite(F.col("value")))
+    return stored(long.groupBy("feature", value_bucket(F.col("value")).alias("_bucket")).agg(*_period_counts(periods)), "histogram")
+
+
+def _period_counts(periods: Periods) -> list[Column]:
+    return [F.count_if(periods.is_reference()).alias("_ref"), F.count_if(periods.is_current()).alias("_cur")]
+
+
+def _values_in(df: DataFrame, features: Sequence[str], periods: Periods, buckets: DataFrame) -> DataFrame:
+    """``feature, _bucket, _v, _ref, _cur``: counts of the single values of a few buckets.
+
+    ``buckets`` has a few rows per feature. Rows are read again, but only cells in
+    these buckets leave the scan.
+    """
+    sets = buckets.groupBy("feature").agg(F.collect_set("_bucket").alias("b"))
+    packed = sets.agg(F.map_from_entries(F.collect_list(F.struct("feature", "b"))).alias("sets"))
+    rows = with_row(df.select(periods.column, *[F.col(c).cast("double").alias(c) for c in features]), packed, {"_sets": "sets"})
+
+    def cell(c: str) -> Column:
+        bucket = value_bucket(F.col(c))
+        inside = _finite(F.col(c)) & F.array_contains(F.col("_sets")[c], bucket)
+        return F.when(inside, F.struct(F.lit(c).alias("feature"), bucket.alias("_bucket"), F.col(c).alias("_v")))
+
+    cells = rows.select(periods.column, F.explode(F.array_compact(F.array(*[cell(c) for c in features]))).alias("_cell"))
+    return cells.groupBy("_cell.feature", "_cell._bucket", "_cell._v").agg(*_period_counts(periods))
 
 
-def psi_reference_edges(df: DataFrame, features: Sequence[str], periods: Periods = Periods(), bins: int = PSI_BINS) -> DataFrame:
+def _edges_and_values(
+    df: DataFrame, features: Sequence[str], periods: Periods, histogram: DataFrame, weight: Column, steps: Sequence[float]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct quantiles per feature (``_edges``), the buckets searched for them, and the values in those buckets.
+
+    ``weight`` says which rows the quantiles are of. The histogram tells the buckets
+    that hold the wanted ranks; only their values are counted one by one.
+    """
+    group = Window.partitionBy("feature")
+    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    held = histogram.withColumn("_n", weight).where("_n > 0")
+    located = held.withColumns({"_offset": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_total": F.sum("_n").over(group)})
+    # By way of percent, as the usual data-frame libraries do.
+    position = lambda q: (F.col("_total") - 1) * F.lit(float(q) * 100 / 100)
+    ranks = [(F.floor(position(q)).cast("long"), F.ceil(position(q)).cast("long")) for q in steps]
+    covers = lambda rank, start: (rank >= start) & (rank < start + F.col("_n"))
+    wanted = reduce(lambda x, y: x | y, [covers(r, F.col("_offset")) for pair in ranks for r in pair])
+    # At most two buckets per quantile and feature.
+    searched = located.where(wanted).select("feature", "_bucket", "_offset", "_total")
+    values = _values_in(df, features, periods, searched).withColumn("_n", weight)
+    placed = prefix_sums(values, ["feature", "_bucket"], "_v", ["_n"])
+    at = placed.join(F.broadcast(searched), ["feature", "_bucket"])
+    start = F.col("_offset") + F.col("_n_before")
+    picks = [F.max(F.when(covers(r, start), F.col("_v"))).alias(f"_{end}{i}") for i, pair in enumerate(ranks) for end, r in zip(("lo", "hi"), pair)]
+    found = at.groupBy("feature").agg(F.max("_total").alias("_total"), *picks)
+    quantile = [interpolate(F.col(f"_lo{i}"), F.col(f"_hi{i}"), position(q) - F.floor(position(q))) for i, q in enumerate(steps)]
+    edges = stored(found.select("feature", F.array_sort(F.array_distinct(F.array(*quantile))).alias("_edges")), "edges")
+    return edges, searched.select("feature", "_bucket"), placed.select("feature", "_bucket", "_v", "_ref", "_cur")
+
+
+def _bin_counts(histogram: DataFrame, inner: DataFrame, values: DataFrame, searched: DataFrame, closed_left: bool) -> DataFrame:
+    """Counts per feature and bin; bin = number of inner edges below the value.
+
+    A bucket without an edge lies in one bin as a whole; values of buckets with an
+    edge are compared one by one.
+    """
+    # Edges and searched buckets have a few rows per feature: bounded by the number of columns.
+    below = lambda edge, v: (edge <= v) if closed_left else (edge < v)
+    singles = values.join(F.broadcast(inner), "feature")
+    singles = singles.select("feature", F.size(F.filter("_inner", lambda e: below(e, F.col("_v")))).alias("_bin"), "_ref", "_cur")
+    whole = histogram.join(F.broadcast(searched), ["feature", "_bucket"], "left_anti").join(F.broadcast(inner), "feature")
+    whole = whole.select("feature", F.size(F.filter("_inner", lambda e: value_bucket(e) < F.col("_bucket"))).alias("_bin"), "_ref", "_cur")
+    return singles.unionByName(whole).groupBy("feature", "_bin").agg(F.sum("_ref").alias("_ref"), F.sum("_cur").alias("_cur"))
+
+
+def psi_reference_edges(
+    df: DataFrame, features: Sequence[str], periods: Periods = Periods(), bins: int = PSI_BINS, histogram: DataFrame | None = None
+) -> DataFrame:
     """PSI with bin edges at the quantiles of the reference period.
 
     Bins are right-closed with open ends. Too few rows give NULL, fewer than two
-    distinct inner intervals give 0.
+    distinct inner intervals give 0. ``histogram`` may be given where it is known.
     """
-    long = _long(df, features, periods).filter(_finite(F.col("value")))
-    steps = even_steps(bins)
-    edges = quantiles(long.filter(periods.is_reference()), ["feature"], "value", steps, bounded_keys=True).select(
-        "feature", F.array_sort(F.array_distinct("quantiles")).alias("_edges")
-    )
+    histogram = period_histogram(df, features, periods) if histogram is None else histogram
+    edges, searched, values = _edges_and_values(df, features, periods, histogram, F.col("_ref"), even_steps(bins))
     inner = edges.select(
         "feature", F.size("_edges").alias("_count"),
         F.when(F.size("_edges") > 2, F.slice("_edges", 2, F.size("_edges") - 2)).otherwise(F.array().cast("array<double>")).alias("_inner"),
     )
-    table = _psi_from_bins(_binned(long, inner, periods, False, bins - 1), "feature")
+    # An interpolated edge may fall into a bucket where only current rows are.
+    spots = inner.select("feature", F.explode("_inner").alias("_e")).select("feature", value_bucket(F.col("_e")).alias("_bucket")).distinct()
+    more = histogram.select("feature", "_bucket").join(F.broadcast(spots), ["feature", "_bucket"], "left_semi")
+    more = more.join(F.broadcast(searched), ["feature", "_bucket"], "left_anti")
+    if not more.isEmpty():
+        values = values.unionByName(_values_in(df, features, periods, more))
+        searched = searched.unionByName(more)
+    table = _psi_from_bins(_bin_counts(histogram, inner.select("feature", "_inner"), values, searched, False), "feature")
     enough = (F.col("_ref_rows") >= MIN_PSI_ROWS) & (F.col("_cur_rows") >= MIN_PSI_ROWS)
     scored = table.join(F.broadcast(inner.select("feature", "_count")), "feature")
     value = F.when(~enough, F.lit(None).cast("double")).when(F.col("_count") < 3, 0.0).otherwise(F.col("psi"))
     return _all_features(df, features, scored.select("feature", value.alias("psi")))
 
 
-def psi_pooled_edges(df: DataFrame, features: Sequence[str], periods: Periods = Periods(), bins: int = PSI_BINS) -> DataFrame:
+def psi_pooled_edges(
+    df: DataFrame, features: Sequence[str], periods: Periods = Periods(), bins: int = PSI_BINS, histogram: DataFrame | None = None
+) -> DataFrame:
     """PSI with bin edges at the quantiles of both periods together.
 
     Bins are left-closed with open ends; a constant column gets a narrow bin
-    around its value. A period without values gives NULL.
+    around its value. A period without values gives NULL. ``histogram`` may be given
+    where it is known.
     """
-    long = _long(df, features, periods).filter(_finite(F.col("value")))
-    steps = even_steps(bins)
-    edges = quantiles(long, ["feature"], "value", steps, bounded_keys=True).select(
-        "feature", F.array_sort(F.array_distinct("quantiles")).alias("_edges")
-    )
+    histogram = period_histogram(df, features, periods) if histogram is None else histogram
+    edges, searched, values = _edges_and_values(df, features, periods, histogram, F.col("_ref") + F.col("_cur"), even_steps(bins))
     only = F.col("_edges")[0]
     inner = edges.select(
         "feature",
@@ -119,7 +192,7 @@ def psi_pooled_edges(df: DataFrame, features: Sequence[str], periods: Periods =
         .otherwise(F.array(only - PSI_EPSILON, only + PSI_EPSILON))
         .alias("_inner"),
     )
-    table = _psi_from_bins(_binned(long, inner, periods, True, bins - 1), "feature")
+    table = _psi_from_bins(_bin_counts(histogram, inner, values, searched, True), "feature")
     both = (F.col("_ref_rows") > 0) & (F.col("_cur_rows") > 0)
     return _all_features(df, features, table.select("feature", F.when(both, F.col("psi")).alias("psi")))
 
@@ -148,16 +221,25 @@ def _all_features(df: DataFrame, features: Sequence[str], scored: DataFrame) ->
     return names.join(scored, "feature", "left")
 
 
+def _by_feature(df: DataFrame, features: Sequence[str], measures: Mapping[str, Callable[[str], Column]]) -> DataFrame:
+    """Aggregates of every feature from one pass over the rows as they are: one row, then one row per feature."""
+    wide = df.agg(*[make(c).alias(f"{name}/{c}") for name, make in measures.items() for c in features])
+    cells = [F.struct(F.lit(c).alias("feature"), *[F.col(f"`{name}/{c}`").alias(name) for name in measures]) for c in features]
+    return wide.select(F.explode(F.array(*cells)).alias("_cell")).select("_cell.*")
+
+
 def missing_by_period(df: DataFrame, features: Sequence[str], periods: Periods = Periods()) -> DataFrame:
     """Rows and missing rates of every feature in both periods, in one pass."""
-    marks = df.select(periods.column, *[F.col(c).isNull().cast("int").alias(c) for c in features])
-    long = marks.unpivot([periods.column], list(features), "feature", "missing")
-    table = long.groupBy("feature").agg(
-        F.count_if(periods.is_reference()).alias("reference_rows"),
-        F.count_if(periods.is_current()).alias("production_rows"),
-        F.avg(F.when(periods.is_reference(), F.col("missing"))).alias("reference_missing_rate"),
-        F.avg(F.when(periods.is_current(), F.col("missing"))).alias("production_missing_rate"),
-    )
+    lacking = lambda c: F.col(c).isNull().cast("int")
+    table = _by_feature(
+        df, features,
+        {
+            "reference_rows": lambda c: F.count_if(periods.is_reference()),
+            "production_rows": lambda c: F.count_if(periods.is_current()),
+            "reference_missing_rate": lambda c: F.avg(F.when(periods.is_reference(), lacking(c))),
+            "production_missing_rate": lambda c: F.avg(F.when(periods.is_current(), lacking(c))),
+        },
+    )
     return table.withColumn(
         "missing_rate_change", F.col("production_missing_rate") - F.col("reference_missing_rate")
     )
@@ -177,16 +259,19 @@ def feature_drift(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
 
 def feature_drift_moments(df: DataFrame, features: Sequence[str], periods: Periods = Periods()) -> DataFrame:
     """Means, deviations, changes, missing rates and PSI between two periods."""
-    long = _long(df, features, periods)
-    value = F.col("value")
-    table = long.groupBy("feature").agg(
-        F.avg(F.when(periods.is_reference(), value)).alias("reference_mean"),
-        F.avg(F.when(periods.is_current(), value)).alias("current_mean"),
-        F.stddev_samp(F.when(periods.is_reference(), value)).alias("reference_std"),
-        F.stddev_samp(F.when(periods.is_current(), value)).alias("current_std"),
-        F.avg(F.when(periods.is_reference(), value.isNull().cast("int"))).alias("reference_missing_rate"),
-        F.avg(F.when(periods.is_current(), value.isNull().cast("int"))).alias("current_missing_rate"),
-    )
+    value = lambda c, within: F.when(within, F.col(c).cast("double"))
+    missing = lambda c, within: F.avg(F.when(within, F.col(c).cast("double").isNull().cast("int")))
+    table = _by_feature(
+        df, features,
+        {
+            "reference_mean": lambda c: F.avg(value(c, periods.is_reference())),
+            "current_mean": lambda c: F.avg(value(c, periods.is_current())),
+            "reference_std": lambda c: F.stddev_samp(value(c, periods.is_reference())),
+            "current_std": lambda c: F.stddev_samp(value(c, periods.is_current())),
+            "reference_missing_rate": lambda c: missing(c, periods.is_reference()),
+            "current_missing_rate": lambda c: missing(c, periods.is_current()),
+        },
+    )
     change = F.col("current_mean") - F.col("reference_mean")
     moved = table.withColumns(
         {"mean_change": change, "mean_change_pct": change / (F.abs("reference_mean") + 1e-9)}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions.scalar import rate
-from almanac.operators.distribution import prefix_sums, score_bucket
+from almanac.operators.distribution import prefix_sums
 from almanac.spec import ScoreSpec
 
 COUNTS = ["true_positive", "false_positive", "false_negative", "true_negative"]
@@ -61,7 +61,7 @@ def score_counts(df: DataFrame, score: ScoreSpec, by: Sequence[str] = ()) -> Dat
 
 
 def _placed(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    return prefix_sums(counts, by, "_score", ["pos", "neg"], bucket=score_bucket, descending=True)
+    return prefix_sums(counts, by, "_score", ["pos", "neg"], descending=True)
 
 
 def _ranking_aggregates(usable: Column) -> list[Column]:

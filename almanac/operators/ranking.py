@@ -8,13 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.scalar import rate
-from almanac.operators.distribution import prefix_sums, value_bucket
+from almanac.operators.distribution import PIECE_ROWS, in_pieces, ordered, prefix_sums
 from almanac.operators.joins import many_to_one
-from almanac.session import durable
-
-# monotonically_increasing_id keeps the partition in the high bits and the row's
-# position in the low 33.
-_POSITION_BITS = 33
 
 
 def _order(by: str, tie: Sequence[str], descending: bool) -> list[Column]:
@@ -22,27 +17,26 @@ def _order(by: str, tie: Sequence[str], descending: bool) -> list[Column]:
     return [first, *[F.col(c).asc_nulls_last() for c in tie]]
 
 
-def order_rank(df: DataFrame, by: str, tie: Sequence[str], out: str = "rank", descending: bool = True) -> DataFrame:
-    """Unique rank 1..n over a table of any size.
+def order_rank(
+    df: DataFrame, by: str, tie: Sequence[str], out: str = "rank", descending: bool = True, piece_rows: int = PIECE_ROWS
+) -> DataFrame:
+    """Unique rank 1..n over a table of any size; ``tie`` makes the order total.
 
-    Rows are range-partitioned by the full sort key, so equal leading values still
-    spread, and fixed in reliable storage; each row's rank is its position plus
-    the row count of the earlier partitions (one number per partition).
+    The table is written once and cut at split points of the full sort key, so equal
+    leading values still spread; a row's rank is its place in its piece plus the row
+    count of the earlier pieces (one number per piece).
     """
-    order = _order(by, tie, descending)
-    fixed = durable(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    numbered = fixed.withColumn("_id", F.monotonically_increasing_id()).withColumns(
-        {
-            "_part": F.shiftright("_id", _POSITION_BITS),
-            "_pos": F.col("_id") - F.shiftleft(F.shiftright("_id", _POSITION_BITS), _POSITION_BITS),
-        }
-    )
-    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    # One row per partition of the checkpoint.
-    ranked = numbered.join(F.broadcast(offsets), "_part")
-    return ranked.withColumn(out, F.col("_offset") + F.col("_pos") + 1).select(*df.columns, out)
+    order = [c for column, down in [(by, descending), *[(c, False) for c in tie]] for c in ordered(F.col(column), down)]
+    placed, pieces = in_pieces(df, order, piece_rows)
+    place = F.row_number().over(Window.partitionBy("_piece").orderBy(*order)).cast("long")
+    if pieces == 1:
+        return placed.withColumn(out, place).select(*df.columns, out)
+    sizes = placed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    # One row per piece: at most MOST_PIECES.
+    ranked = placed.withColumn("_place", place).join(F.broadcast(offsets), "_piece")
+    return ranked.withColumn(out, F.col("_offset") + F.col("_place")).select(*df.columns, out)
 
 
 def row_rank(df: DataFrame, by: str, tie: Sequence[str], out: str = "rank", descending: bool = True) -> DataFrame:
@@ -58,10 +52,10 @@ def row_rank(df: DataFrame, by: str, tie: Sequence[str], out: str = "rank", desc
 def dense_rank_by(df: DataFrame, by: str, out: str = "risk_rank", descending: bool = True) -> DataFrame:
     """Dense rank: equal values share a rank, ranks have no holes.
 
-    Distinct values are ranked by a two-level running count and joined back.
+    Distinct values are ranked by a running count in ordered pieces and joined back.
     """
     distinct = df.groupBy(by).agg(F.lit(1).alias("_one")).filter(F.col(by).isNotNull())
-    ranks = prefix_sums(distinct, [], by, ["_one"], bucket=value_bucket, descending=descending)
+    ranks = prefix_sums(distinct, [], by, ["_one"], descending=descending)
     table = ranks.select(by, (F.col("_one_before") + 1).cast("long").alias(out))
     return many_to_one(df, table, [by]).select(*df.columns, out)
 

@@ -23,19 +23,19 @@ from almanac.spec import ScoreSpec
 
 SCORE = ScoreSpec()
 T = POLICY_THRESHOLD
-NUMERIC = ["measure", "measure_3m", "measure_6m", "measure_12m", "historical_mean", "anomaly", "anomaly_pct", "deficit", "zscore", "missing", "year"]
+NUMERIC = plans.NUMERIC_FEATURES
 CATEGORICAL = ["entity", "month", "season"]
 
 # Panel features up to 1999 against those from 2000 on; the z-score is emptied
 # for two brands so that missing rates differ.
 _ROWS = """d AS (SELECT * REPLACE (CASE WHEN entity IN ('Brand#11', 'Brand#12') AND year >= 2000 THEN NULL ELSE zscore END AS zscore),
-  CASE WHEN year <= 1999 THEN 'REFERENCE' ELSE 'PRODUCTION' END AS period FROM risk)"""
-_BASE = [sql.P, *sql.risk("p"), _ROWS]
+  CASE WHEN year <= 1999 THEN 'REFERENCE' ELSE 'PRODUCTION' END AS period FROM temporal)"""
+_BASE = [sql.P, *sql.risk("p"), sql.TARGETS, sql.TEMPORAL, _ROWS]
 _LONG = "l AS (" + " UNION ALL ".join(f"SELECT period, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM d" for c in NUMERIC) + ")"
 
 
 def _drift_rows(spark, directory):
-    rows = plans.model_dataset(quantity_panel(spark, directory))
+    rows = plans.temporal_features(plans.severe_dataset(quantity_panel(spark, directory)))
     masked = F.col("entity").isin("Brand#11", "Brand#12") & (F.col("year") >= 2000)
     labelled = drift.label_periods(rows.withColumn("zscore", F.when(~masked, F.col("zscore"))), "year", 1999, 2000)
     # Quantiles, bins and missing rates each pass over the rows.

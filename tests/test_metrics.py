@@ -113,11 +113,12 @@ def test_quantiles_of_a_hot_value(spark):
 
 
 @pytest.mark.parametrize("descending", [True, False])
-def test_prefix_sums(spark, descending):
+@pytest.mark.parametrize("piece_rows", [40, 50_000])
+def test_prefix_sums(spark, descending, piece_rows):
     random.seed(1)
     cells = [(k, random.random(), random.randint(0, 5)) for k in "ab" for _ in range(300)]
     df = spark.createDataFrame(cells, "k string, v double, n long")
-    got = distribution.prefix_sums(df, ["k"], "v", ["n"], descending=descending).collect()
+    got = distribution.prefix_sums(df, ["k"], "v", ["n"], descending=descending, piece_rows=piece_rows).collect()
     for r in got[::37]:
         before = [n for k, v, n in cells if k == r.k and (v > r.v if descending else v < r.v)]
         assert r.n_before == sum(before)
@@ -128,14 +129,38 @@ def test_buckets_never_invert_the_order(spark):
     random.seed(5)
     values = sorted([random.choice([-1, 1]) * 10 ** random.uniform(-12, 12) for _ in range(3000)] + [0.0, 1.0, -1.0])
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    out = df.select("v", distribution.value_bucket(F.col("v")).alias("b"), distribution.score_bucket(F.col("v")).alias("s")).orderBy("v").collect()
-    assert all(x.b <= y.b and x.s <= y.s for x, y in zip(out, out[1:]))
-
-
-def test_order_rank_with_a_hot_value(spark):
+    out = df.select("v", distribution.value_bucket(F.col("v")).alias("b")).orderBy("v").collect()
+    assert all(x.b <= y.b for x, y in zip(out, out[1:]))
+
+
+@pytest.mark.parametrize("value", ["0.5 + id * 1e-13", "(id * 7919 % 1000003) / 100000.0 - 5", "pow(10.0, (id % 600) - 300) * (1 + id * 1e-9)"])
+def test_pieces_are_even_however_values_crowd(spark, value):
+    """A million distinct scores within 1e-7, over [-5, 5], or over 600 orders of magnitude."""
+    df = spark.range(1_000_000).select(F.expr(f"cast({value} as double)").alias("v")).distinct()
+    placed, pieces = distribution.in_pieces(df, [F.col("v")], 50_000)
+    sizes = placed.groupBy("_piece").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_piece").collect()
+    mean = sum(r.n for r in sizes) / pieces
+    assert len(sizes) == pieces > 10 and max(r.n for r in sizes) < 2 * mean
+    assert all(a.hi < b.lo for a, b in zip(sizes, sizes[1:]))
+
+
+def test_ranking_metrics_of_crowded_scores_in_pieces(spark, monkeypatch):
+    """Scores within 1e-7 of each other, and outside [0, 1], against counting pairs."""
+    random.seed(8)
+    pairs = [(random.choice([0.3 + random.randrange(400) * 1e-10, random.uniform(-5, 5)]), random.random() < 0.4) for _ in range(900)]
+    monkeypatch.setattr(distribution.prefix_sums, "__defaults__", (False, 50))
+    got = metrics.ranking_metrics(scored(spark, [(p, int(y)) for p, y in pairs]), SCORE).first()
+    ups, downs = [p for p, y in pairs if y], [p for p, y in pairs if not y]
+    assert got.roc_auc == pytest.approx(sum((a > b) + (a == b) / 2 for a in ups for b in downs) / len(ups) / len(downs))
+    want = sum(sum(y for p, y in pairs if p >= s) / sum(p >= s for p, _ in pairs) for s in ups) / len(ups)
+    assert got.pr_auc == pytest.approx(want)
+
+
+@pytest.mark.parametrize("piece_rows", [300, 50_000])
+def test_order_rank_with_a_hot_value(spark, piece_rows):
     """Two thirds of the rows share the leading value: the tie column still spreads them."""
     df = spark.range(5000).select("id", F.when(F.col("id") % 3 < 2, 1.0).otherwise(F.col("id") * 1.0).alias("v"))
-    got = {r.id: r.rank for r in ranking.order_rank(df, "v", ["id"]).collect()}
+    got = {r.id: r.rank for r in ranking.order_rank(df, "v", ["id"], piece_rows=piece_rows).collect()}
     order = sorted(range(5000), key=lambda i: (-(1.0 if i % 3 < 2 else float(i)), i))
     assert [got[i] for i in order] == list(range(1, 5001))
 
@@ -252,10 +277,64 @@ def test_psi_needs_rows_and_counts_new_categories(spark, rows):
     assert rows(drift.psi_categorical(df, ["c"]))[0]["psi"] == pytest.approx(want)
 
 
-def test_isotonic_against_pooling(spark):
+def test_psi_against_counting_with_gaps_and_crowds(spark, rows, monkeypatch):
+    """Edges between reference values may fall where only current rows are; crowded values share a bucket."""
+    random.seed(4)
+    one = {"gap": [random.choice([0.0, 10.0]) for _ in range(60)], "crowd": [1 + random.randrange(500) * 1e-9 for _ in range(60)], "flat": [3.0] * 60, "holes": [None, float("nan"), 1.5] * 20}
+    two = {"gap": [random.uniform(0, 10) for _ in range(80)], "crowd": [1 + random.randrange(700) * 1e-9 for _ in range(80)], "flat": [3.0] * 79 + [4.0], "holes": [2.5, None, -1.0, 1.5] * 20}
+    names = list(one)
+    data = [("REFERENCE", *r) for r in zip(*one.values())] + [("PRODUCTION", *r) for r in zip(*two.values())]
+    df = spark.createDataFrame(data, "period string, " + ", ".join(f"{n} double" for n in names))
+    finite = lambda v: [x for x in v if x is not None and x == x]
+
+    def psi(name, pooled):
+        ref, cur = finite(one[name]), finite(two[name])
+        edges = np.unique(np.quantile(ref + cur if pooled else ref, np.arange(11) / 10))
+        if not pooled and len(edges) < 3:
+            return 0.0
+        inner = edges[1:-1] if len(edges) > 1 else np.array([edges[0] - 1e-6, edges[0] + 1e-6])
+        side = "right" if pooled else "left"
+        counts = [np.bincount(np.searchsorted(inner, v, side), minlength=len(inner) + 1) / len(v) for v in (ref, cur)]
+        r, c = (np.maximum(x[(counts[0] > 0) | (counts[1] > 0)], 1e-6) for x in counts)
+        return float(((c - r) * np.log(c / r)).sum())
+
+    for pooled, operator in ((False, drift.psi_reference_edges), (True, drift.psi_pooled_edges)):
+        got = {r["feature"]: r["psi"] for r in rows(operator(df, names))}
+        assert got == pytest.approx({n: psi(n, pooled) for n in names}, abs=1e-6)
+
+
+def test_psi_spreads_the_rows_once(spark):
+    df = spark.range(100).selectExpr("if(id < 50, 'REFERENCE', 'PRODUCTION') AS period", "id * 1.0 AS a", "id % 7 * 1.0 AS b")
+    histogram = drift.period_histogram(df, ["a", "b"])
+    plan = drift.psi_pooled_edges(df, ["a", "b"], histogram=histogram)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_isotonic_of_a_million_scores(spark):
+    """Distinct scores with counts, pooled in pieces, against one pass over all of them."""
+    n = 1_000_000
+    df = spark.range(n).select((F.pmod(F.col("id") * 7919, F.lit(n)) / n).alias("probability"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("r"))
+    df = df.select("probability", (F.col("r") < 1000 * (0.2 + 0.6 * F.col("probability"))).cast("int").alias("actual"))
+    curve = calibration.fit_isotonic(df, SCORE).toPandas().sort_values("lo")
+    blocks = []
+    for p, y in df.toPandas().sort_values("probability").itertuples(index=False):
+        y, w, lo = int(y), 1, p
+        while blocks and blocks[-1][1] * w >= y * blocks[-1][2]:
+            lo, before, weight = blocks.pop()[:3]
+            y, w = y + before, w + weight
+        blocks.append((lo, y, w))
+    assert curve["lo"].tolist() == [b[0] for b in blocks] and curve["value"].tolist() == [b[1] / b[2] for b in blocks]
+    assert curve["weight"].sum() == n
+
+
+@pytest.mark.parametrize("piece_rows", [5, 50_000])
+@pytest.mark.parametrize("shape", ["flat", "falling", "rising", "last"])
+def test_isotonic_against_pooling(spark, piece_rows, shape):
+    """Also where one fall reaches back over many pieces, and where hardly anything is pooled."""
     random.seed(2)
-    pairs = [(round(random.random(), 2), int(random.random() < 0.4)) for _ in range(300)]
-    model = calibration.fit_isotonic(scored(spark, pairs), SCORE)
+    chance = {"flat": lambda s: 0.4, "falling": lambda s: 1 - s, "rising": lambda s: s, "last": lambda s: s if s < 0.97 else 0}[shape]
+    pairs = [(s, int(random.random() < chance(s))) for s in (round(random.random(), 2) for _ in range(1500 if shape == "rising" else 300))]
+    model = calibration.fit_isotonic(scored(spark, pairs), SCORE, piece_rows)
     blocks = []
     for s in sorted({p for p, _ in pairs}):
         own = [y for p, y in pairs if p == s]
@@ -264,7 +343,7 @@ def test_isotonic_against_pooling(spark):
             y, n, members = blocks.pop()
             blocks[-1] = [blocks[-1][0] + y, blocks[-1][1] + n, blocks[-1][2] + members]
     want = {s: y / n for y, n, members in blocks for s in members}
-    got = calibration.apply_isotonic(spark.createDataFrame([(s,) for s in want], "p double"), model, "p").collect()
+    got = calibration.apply_isotonic(spark.createDataFrame([(s,) for s in want], "p double"), model, "p", piece_rows=piece_rows).collect()
     for r in got:
         assert r.isotonic_probability == pytest.approx(want[r.p], abs=1e-9)
     ends = calibration.apply_isotonic(spark.createDataFrame([(-1.0,), (2.0,)], "p double"), model, "p").collect()
