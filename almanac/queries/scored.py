@@ -476,10 +476,10 @@ def _alerts(spark, directory):
 @query(
     "high_risk_ranked",
     final(
-        [sql.S, f"a AS (SELECT *, row_number() OVER (ORDER BY probability DESC, {', '.join(_KEY)}) AS risk_rank FROM s WHERE probability >= CAST(0.9 AS DOUBLE))"],
+        [sql.S, f"a AS (SELECT *, row_number() OVER (ORDER BY probability DESC, {', '.join(_KEY)}) AS risk_rank FROM s WHERE probability >= CAST(0.09 AS DOUBLE))"],
         "a", "", f"{_TOP} risk_rank", "probability",
     ),
 )
 def _high_risk_ranked(spark, directory):
-    rows = ranking.high_risk_ranked(scored_lines(spark, directory), "probability", 0.9, _KEY)
+    rows = ranking.high_risk_ranked(scored_lines(spark, directory), "probability", T, _KEY)
     return rows.select(*_KEY, "risk_rank", "probability")

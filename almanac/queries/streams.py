@@ -18,24 +18,40 @@ from almanac.session import new_path, with_row
 from almanac.sources import io
 from almanac.sources.adapters import quantity_panel, scored_events, scored_lines, table, wide_panel
 from almanac.spec import ScoreSpec
-from almanac.streaming.alerts import event_stream, run_to_table, stream_alert_rate
+from almanac.streaming.alerts import AlertMonitor, run_to_table, utc_instant
 from almanac.streaming.scoring import stream_score
 
 
+# Events arrive in ten-day batches; every fortieth one comes a batch late.
+_ARRIVAL = "CAST(floor((day(ts) - 1) / 10) AS INT) + CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END"
+_ARRIVALS = 5
+
+
 @query(
     "stream_alert_rate",
-    """WITH e AS (SELECT ts, event_type, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS actual, least(value / 500, 1) AS probability FROM events),
-w AS (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS observations, count(*) FILTER (WHERE probability >= CAST(0.09 AS DOUBLE)) AS alerts,
-  sum(actual) AS events, max(probability) AS maximum_probability FROM e GROUP BY 1, 2)
+    f"""WITH e AS (SELECT ts, event_type, {_ARRIVAL} AS batch, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS actual, least(value / 500, 1) AS probability,
+  date_trunc('day', ts) AS window_start FROM events),
+h AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM e GROUP BY batch),
+m AS (SELECT e.*, coalesce(window_start + INTERVAL 1 DAY <= high - INTERVAL 1 HOUR, false) AS late FROM e JOIN h USING (batch)),
+w AS (SELECT window_start, event_type, count(*) FILTER (WHERE NOT late) AS observations, count(*) FILTER (WHERE NOT late AND probability >= CAST(0.09 AS DOUBLE)) AS alerts,
+  coalesce(sum(actual) FILTER (WHERE NOT late), 0) AS events, max(probability) FILTER (WHERE NOT late) AS maximum_probability, count(*) FILTER (WHERE late) AS late_rows FROM m GROUP BY 1, 2)
 SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(window_start + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, event_type,
-  observations, alerts, CAST(events AS BIGINT) AS events, round(maximum_probability, 6) + 0.0 AS maximum_probability,
-  round(CAST(alerts AS DOUBLE) / observations, 6) + 0.0 AS alert_rate, round(CAST(events AS DOUBLE) / observations, 6) + 0.0 AS event_rate
-FROM w WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+  observations, alerts, CAST(events AS BIGINT) AS events, round(maximum_probability, 6) + 0.0 AS maximum_probability, late_rows,
+  round(coalesce(CAST(alerts AS DOUBLE) / nullif(observations, 0), 0), 6) + 0.0 AS alert_rate, round(coalesce(CAST(events AS DOUBLE) / nullif(observations, 0), 0), 6) + 0.0 AS event_rate,
+  CASE WHEN observations = 0 THEN NULL WHEN window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR THEN 'WATERMARK' ELSE 'END_OF_INPUT' END AS closed_by
+FROM w""",
 )
 def _stream_alert_rate(spark, directory):
-    """Only windows the watermark has closed are final, on both sides."""
-    stream = scored_events(event_stream(spark, directory, "events"))
-    return run_to_table(stream_alert_rate(stream, ScoreSpec(), 0.09), "alert-rate")
+    """All windows of a stream that ends, in several batches, with the rows that came too late for each."""
+    events, source = table(spark, directory, "events"), new_path(spark, "arrivals")
+    monitor = AlertMonitor(new_path(spark, "alert-windows"), ScoreSpec(), 0.09)
+    batched = events.withColumn("batch", F.expr(_ARRIVAL)).withColumn("ts", utc_instant(F.col("ts")))
+    for number in range(_ARRIVALS):
+        batched.where(F.col("batch") == number).drop("batch").write.mode("append").parquet(source)
+        monitor.run(scored_events(spark.readStream.schema(batched.drop("batch").schema).parquet(source)))
+    windows, keys = monitor.windows(spark), ["window_start", "window_end", "event_type"]
+    late = monitor.late(spark).groupBy(*keys).agg(F.count(F.lit(1)).alias("late_rows"))
+    return windows.join(late, keys, "full").fillna(0, ["observations", "alerts", "events", "late_rows", "alert_rate", "event_rate"])
 
 
 _NUMERIC = ["measure", "measure_3m", "zscore"]

@@ -11,7 +11,7 @@ from almanac.operators import models
 from almanac.session import new_path
 from almanac.sources import io
 from almanac.spec import ScoreSpec
-from almanac.streaming.alerts import stream_alert_rate
+from almanac.streaming.alerts import AlertMonitor, stream_alert_rate
 from almanac.streaming.scoring import stream_score, write_stream
 
 
@@ -50,6 +50,32 @@ def test_windows_across_batches_and_late_rows(spark, tmp_path):
     assert [(str(r.window_start), r.observations, r.alerts) for r in got] == [("2024-01-01 00:00:00", 3, 2), ("2024-01-03 00:00:00", 1, 1)]
 
 
+def test_monitor_keeps_open_windows_and_late_rows(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+
+    def batch(hours):
+        cells = [(start + dt.timedelta(hours=h), k, 1, p) for h, k, p in hours]
+        return spark.createDataFrame(cells, "ts timestamp, event_type string, actual int, probability double")
+
+    monitor = AlertMonitor(str(tmp_path / "monitor"), ScoreSpec(), 0.09)
+    arrivals = [[(1, "a", 0.5), (2, None, 0.01)], [(5, "a", 0.2)], [(50, "a", None)], [(3, "a", 0.9), (49, "b", 0.3), (75, "a", 0.5)], []]
+    for number, hours in enumerate(arrivals):
+        monitor.process(batch(hours), number)
+        monitor.process(batch(hours), number)  # a batch that is run again changes nothing
+    found = {(str(r.window_start)[:10], r.event_type): (r.observations, r.alerts, r.closed_by) for r in monitor.windows(spark).collect()}
+    assert found == {
+        ("2024-01-01", "a"): (2, 2, "WATERMARK"), ("2024-01-01", None): (1, 0, "WATERMARK"),
+        ("2024-01-03", "a"): (1, 0, "WATERMARK"), ("2024-01-03", "b"): (1, 1, "WATERMARK"), ("2024-01-04", "a"): (1, 1, "END_OF_INPUT"),
+    }
+    assert [(str(r.ts), r.probability, r.batch_id) for r in monitor.late(spark).collect()] == [("2024-01-01 03:00:00", 0.9, 3)]
+
+
+def test_monitor_of_an_empty_stream(spark, tmp_path):
+    monitor = AlertMonitor(str(tmp_path / "monitor"), ScoreSpec(), 0.09)
+    monitor.process(spark.createDataFrame([], "ts timestamp, event_type string, actual int, probability double"), 0)
+    assert monitor.windows(spark).collect() == [] and monitor.late(spark).collect() == []
+
+
 def test_json_and_csv_artifacts(spark, tmp_path):
     policy = spark.createDataFrame([("t", "sigmoid_probability", 0.09)], io.policy_schema())
     io.write_table(policy, str(tmp_path / "policy"), "csv")
