@@ -51,12 +51,11 @@ def composite_key(df: DataFrame, columns: Sequence[str]) -> Column:
 
 
 def sigmoid(p: Column, slope: Column | float, intercept: Column | float) -> Column:
-    """Logistic of slope * p + intercept, computed on the side that cannot overflow."""
+    """Logistic of slope * p + intercept. The input stands in it once: expressions built on it stay small."""
     slope = slope if isinstance(slope, Column) else F.lit(float(slope))
     intercept = intercept if isinstance(intercept, Column) else F.lit(float(intercept))
-    z = slope * p + intercept
-    decay = F.exp(-F.abs(z))
-    return clip(F.when(z >= 0, 1 / (1 + decay)).otherwise(decay / (1 + decay)), 0, 1)
+    # Far below zero the exponential is infinite and the quotient 0, as it should be.
+    return 1 / (1 + F.exp(-(slope * p + intercept)))
 
 
 def psi_term(reference: Column, current: Column, epsilon: float = PSI_EPSILON) -> Column:

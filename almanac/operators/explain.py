@@ -8,15 +8,14 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.operators.joins import union_all
+from almanac.operators.linear import LinearModel
 from almanac.operators.metrics import ranking_metrics
 from almanac.operators.models import add_probability
 from almanac.operators.ranking import order_rank, row_rank
-from almanac.session import durable
+from almanac.session import stored
 from almanac.spec import ScoreSpec
 
 
@@ -29,54 +28,65 @@ def native_importance(df: DataFrame, model: PipelineModel, features: Sequence[st
     return row_rank(table, "importance", ["feature"])
 
 
-def _shuffled(rows: int, name: str, seed: int) -> tuple[int, int]:
-    """Factor and shift of the map i -> (factor * i + shift) mod rows, which moves every row once."""
-    factor = zlib.crc32(f"{name}/{seed}".encode()) | 1
+def _shuffled(name: str, seed: int) -> tuple[int, int]:
+    """Least factor and shift of the map i -> (factor * i + shift) mod rows."""
+    return zlib.crc32(f"{name}/{seed}".encode()) | 1, zlib.crc32(f"{seed}/{name}".encode())
+
+
+def _coprime(factor: int, rows: int) -> int:
+    """The first odd number from ``factor`` on that shares no divisor with ``rows``: the map then moves every row once."""
     while math.gcd(factor, max(rows, 1)) > 1:
         factor += 2
-    return factor, zlib.crc32(f"{seed}/{name}".encode())
+    return factor
 
 
 def permutation_importance(
-    model: PipelineModel, df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], repeats: int = 3, seed: int = 42,
+    model: PipelineModel | LinearModel, df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], repeats: int = 3, seed: int = 42,
 ) -> DataFrame:
     """Loss of average precision when one feature's values are shuffled over all rows.
 
-    Rows are numbered once in the order of a hash of their key, by ranges, so no
-    task holds them all. A shuffle is a fixed one-to-one map of the numbers, and
-    values move by a join on the number. All copies are scored in one job.
+    Rows are numbered once in key order, by pieces, so no task holds them all. A
+    shuffle is a fixed one-to-one map of the numbers. Each row sends the values of
+    all features and repeats to their new places at once, in one exchange; the row
+    there takes them in, and all copies are scored in one job. The number of
+    exchanges does not depend on the number of features or repeats.
     """
-    hashed = df.select(*keys, *features, target).withColumn("_o", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
-    numbered = durable(order_rank(hashed, "_o", keys, "_i").select("_i", *features, target))
+    numbers = [F.col(f).cast("double").alias(f) for f in features]
+    rest = [c for c in df.columns if c not in features]
+    named = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *rest, *numbers)
+    ranked = order_rank(named, "_k0", [f"_k{i}" for i in range(1, len(keys))], "_i", descending=False)
+    numbered = stored(ranked.select("_i", *rest, *features), "numbered")
     rows = numbered.count()
-    copies = [numbered.select("_i", *features, target, F.lit("").alias("feature"), F.lit(0).alias("repeat"))]
-    for f in features:
-        for r in range(repeats):
-            factor, shift = _shuffled(rows, f, seed + r)
-            place = (F.lit(factor) * F.col("_i").cast("decimal(19,0)") + shift) % max(rows, 1) + 1
-            values = numbered.select(place.cast("long").alias("_i"), F.col(f).alias("_value"))
-            moved = numbered.join(values, "_i").withColumn(f, F.col("_value"))
-            copies.append(moved.select("_i", *features, target, F.lit(f).alias("feature"), F.lit(r).alias("repeat")))
-    scored = add_probability(model, union_all(*copies), "probability").withColumn("actual", F.col(target))
-    quality = ranking_metrics(scored, ScoreSpec(), ["feature", "repeat"])
-    # One row per feature and repeat; the untouched copy is the baseline.
-    base = F.max(F.when(F.col("feature") == "", F.col("pr_auc"))).over(Window.partitionBy(F.lit(0)))
-    loss = quality.withColumn("_loss", base - F.col("pr_auc")).filter(F.col("feature") != "")
+    copies = [(f, r) for f in features for r in range(repeats)]
+    sent = []
+    for number, (f, r) in enumerate(copies):
+        factor, shift = _shuffled(f, seed + r)
+        place = (F.lit(_coprime(factor, rows)) * F.col("_i").cast("decimal(19,0)") + shift) % max(rows, 1) + 1
+        sent.append(F.struct(place.cast("long").alias("place"), F.lit(number).alias("copy"), F.col(f).alias("value")))
+    moved = numbered.select(F.explode(F.array(*sent)).alias("_s")).select("_s.*")
+    arrived = moved.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("copy", "value"))).alias("_moved"))
+    both = numbered.join(arrived, numbered["_i"] == arrived["place"]).withColumn("_copy", F.explode(F.sequence(F.lit(-1), F.lit(len(copies) - 1))))
+    own = {f: [n for n, (name, _) in enumerate(copies) if name == f] for f in features}
+    shuffled = both.withColumns({f: F.when(F.col("_copy").isin(own[f]), F.col("_moved")[F.col("_copy")]).otherwise(F.col(f)) for f in features})
+    scored = add_probability(model, shuffled, "probability").select(F.col(target).alias("actual"), "probability", "_copy")
+    quality = ranking_metrics(scored, ScoreSpec(), ["_copy"])
+    # One row per copy; the untouched one, number -1, is the baseline.
+    base = F.max(F.when(F.col("_copy") < 0, F.col("pr_auc"))).over(Window.partitionBy(F.lit(0)))
+    named = F.get(F.array(*[F.lit(f) for f, _ in copies]), F.col("_copy"))
+    loss = quality.withColumn("_loss", base - F.col("pr_auc")).where("_copy >= 0").withColumn("feature", named)
     table = loss.groupBy("feature").agg(
         F.avg("_loss").alias("importance_mean"), F.coalesce(F.stddev_pop("_loss"), F.lit(0.0)).alias("importance_std")
     )
     return row_rank(table, "importance_mean", ["feature"])
 
 
-def linear_contributions(model: PipelineModel, df: DataFrame, numeric: Sequence[str]) -> DataFrame:
+def linear_contributions(model: PipelineModel | LinearModel, df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     """Mean absolute contribution of each numeric feature to the linear score.
 
-    The model standardises its inputs, so coefficient times scaled value is the
-    exact contribution coefficient * (x - mean).
+    Inputs are standardised, so the exact contribution is weight * (x - mean) / scale.
     """
-    coefficients = model.stages[-1].coefficients.toArray()[: len(numeric)]
-    scaled = model.transform(df).select(vector_to_array("numeric").alias("z"))
-    terms = scaled.select(*[F.abs(F.col("z")[i] * float(c)).alias(f) for i, (f, c) in enumerate(zip(numeric, coefficients))])
+    linear = model if isinstance(model, LinearModel) else LinearModel.from_pipeline(model, list(numeric))
+    terms = df.select(*[F.abs(linear.contribution(f)).alias(f) for f in numeric])
     means = terms.agg(*[F.avg(f).alias(f) for f in numeric]).unpivot([], list(numeric), "feature", "mean_abs_contribution")
     return row_rank(means, "mean_abs_contribution", ["feature"])
 

@@ -15,6 +15,7 @@ from almanac.functions.calendar import CALENDAR_B, normalize_month, season
 from almanac.functions.levels import alert, inference_level
 from almanac.functions.scalar import sigmoid
 from almanac.operators.distribution import quantiles
+from almanac.operators.linear import LinearModel
 from almanac.operators.metrics import ranking_metrics
 from almanac.session import with_row
 from almanac.spec import ScoreSpec
@@ -154,8 +155,10 @@ def fit_gbt(
     return Pipeline(stages=[assembler, booster]).fit(weighted)
 
 
-def add_probability(model: PipelineModel, df: DataFrame, out: str = "raw_probability") -> DataFrame:
+def add_probability(model: PipelineModel | LinearModel, df: DataFrame, out: str = "raw_probability") -> DataFrame:
     """Probability of the positive class, without the model's helper columns."""
+    if isinstance(model, LinearModel):
+        return df.withColumn(out, model.probability())
     scored = model.transform(df)
     return scored.withColumn(out, vector_to_array("probability")[1]).select(*df.columns, out)
 
@@ -202,7 +205,7 @@ def apply_policy(df: DataFrame, slope: Column | float, intercept: Column | float
 
 
 def score_batch(
-    model: PipelineModel, df: DataFrame, slope: Column | float, intercept: Column | float, policy: DataFrame, version: str, target: str
+    model: PipelineModel | LinearModel, df: DataFrame, slope: Column | float, intercept: Column | float, policy: DataFrame, version: str, target: str
 ) -> DataFrame:
     """Score, calibrate, judge and stamp every row. The policy is checked first."""
     raw = add_probability(model, df)
@@ -211,11 +214,16 @@ def score_batch(
 
 
 def checked_predictions(scored: DataFrame) -> DataFrame:
-    """Raise on a row whose probability, alert or level breaks the policy."""
+    """Raise on a row whose probability, alert or level breaks the policy, when alert or level is used.
+
+    The check sits on these two columns: as a filter it would be pushed below the
+    scores and repeat their expressions many times over.
+    """
     p, t = F.col("sigmoid_probability"), F.col("policy_threshold")
     ok = p.between(0, 1) & (F.col("risk_alert") == (p >= t)) & (F.col("risk_level") == inference_level(p, t))
-    refused = F.raise_error(F.lit("inconsistent prediction")).cast("boolean")
-    return scored.filter(F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(refused))
+    refused = F.raise_error(F.lit("inconsistent prediction"))
+    sound = F.coalesce(ok, F.lit(False))
+    return scored.withColumns({c: F.when(sound, F.col(c)).otherwise(refused.cast(scored.schema[c].dataType)) for c in ("risk_alert", "risk_level")})
 
 
 def ablation(

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from almanac.operators import calibration, explain, models
+from almanac.operators import boosting, calibration, explain, metrics, models
+from almanac.operators.linear import LinearModel
 from almanac.plans import modelling, monitoring
 from almanac.plans import panel as plans
 from almanac.queries import sqlparts as sql
 from almanac.queries.registry import final, query
 from almanac.session import new_path, stored
 from almanac.sources.adapters import quantity_panel, scored_lines
-from almanac.sources.io import load_model, save_model
+from almanac.sources.io import load_linear, load_model, load_policy, save_linear, save_model, write_table
 from almanac.spec import ScoreSpec
 
 SCORE = ScoreSpec()
@@ -174,28 +175,105 @@ def _train(rows):
     return rows.filter(F.col("split") == "TRAIN")
 
 
+# A model given as numbers, so that SQL can state its scores: all numeric features, months and seasons.
+_WIDE = {"year": (1995.0, 3.0), "anomaly_pct": (0.0, 100.0), **{c: (0.0, 1.0) for c in ("missing", "zscore", "month_sin", "month_cos")}}
+GIVEN = LinearModel(
+    -0.5,
+    {c: ((7 * i % 11 - 5) / 10, *_WIDE.get(c, (100.0, 500.0))) for i, c in enumerate(NUMERIC)},
+    {"month": {"JAN": 0.125, "JUL": -0.25, "DEC": 0.5}, "season": {"WINTER": 0.0625, "MONSOON": -0.125}},
+)
+GIVEN_CURVE = calibration.SigmoidFit(3.5, -2.75)
+
+
+def _double(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def _term_sql(name: str, column: str) -> str:
+    weight, mean, scale = GIVEN.numeric[name]
+    return f"{_double(weight)} * (({column} - {_double(mean)}) / {_double(scale)})"
+
+
+def _margin_sql() -> str:
+    cases = [f"coalesce(CASE {c} " + " ".join(f"WHEN '{level}' THEN {_double(w)}" for level, w in weights.items()) + " END, 0)" for c, weights in GIVEN.categories.items()]
+    return " + ".join([_double(GIVEN.intercept), *[_term_sql(c, c) for c in NUMERIC], *cases])
+
+
+def _level_sql(threshold: str) -> str:
+    return (
+        f"CASE WHEN sigmoid_probability >= {threshold} * 2 THEN 'HIGH' WHEN sigmoid_probability >= {threshold} THEN 'ALERT' "
+        f"WHEN sigmoid_probability >= {threshold} * 0.5 THEN 'WATCH' ELSE 'NORMAL' END"
+    )
+
+
+# The prepared rows: splits by year, medians of the training rows, seasons of the model stage.
+_PREPARED_SQL = [
+    *_SPLIT,
+    "md AS (SELECT " + ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) FILTER (WHERE split = 'TRAIN') AS {c}" for c in NUMERIC) + " FROM sp)",
+    f"pr AS (SELECT sp.entity, sp.month, {sql.season_case('sp.month_no', 'B')} AS season, sp.split, sp.{TARGET} AS actual, "
+    + ", ".join(f"coalesce(CAST(sp.{c} AS DOUBLE), md.{c}, 0) AS {c}" for c in NUMERIC) + " FROM sp CROSS JOIN md)",
+]
+_SCORED_SQL = [
+    *_PREPARED_SQL,
+    f"raw AS (SELECT *, 1 / (1 + exp(-({_margin_sql()}))) AS raw_probability FROM pr)",
+    f"cal AS (SELECT *, 1 / (1 + exp(-({_double(GIVEN_CURVE.slope)} * raw_probability + ({_double(GIVEN_CURVE.intercept)})))) AS sigmoid_probability FROM raw)",
+]
+
+
+@query(
+    "logistic_fit",
+    f"""WITH RECURSIVE {", ".join(_PREPARED_SQL)},
+tr AS (SELECT zscore AS u, month_cos AS v, CAST(actual AS DOUBLE) AS y, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY actual)) AS w FROM pr WHERE split = 'TRAIN'),
+nw AS (
+  SELECT 0 AS step, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c
+  UNION ALL
+  SELECT step + 1,
+    a - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+    b - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+    c - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+    SELECT step, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, sum(w * (q - y)) AS g0, sum(w * (q - y) * u) AS g1, sum(w * (q - y) * v) AS g2,
+      sum(k) AS h00, sum(k * u) AS h01, sum(k * v) AS h02, sum(k * u * u) AS h11, sum(k * u * v) AS h12, sum(k * v * v) AS h22
+    FROM (SELECT *, w * q * (1 - q) AS k FROM (SELECT nw.*, tr.*, 1 / (1 + exp(-(nw.a + nw.b * tr.u + nw.c * tr.v))) AS q FROM nw CROSS JOIN tr WHERE nw.step < 15))
+    GROUP BY step)))
+SELECT term, round(weight, 3) + 0.0 AS weight FROM (SELECT unnest(['intercept', 'zscore', 'month_cos']) AS term, unnest([a, b, c]) AS weight FROM nw WHERE step = 15)""",
+)
+def _logistic_fit(spark, directory):
+    """The class-balanced fit on two features, in units of the raw columns, against Newton steps."""
+    names = ["zscore", "month_cos"]
+    model = models.fit_logistic(_train(_prepared(spark, directory)), names, [], TARGET, max_iter=200)
+    linear = LinearModel.from_pipeline(model, names)
+    slopes = {c: w / scale for c, (w, _, scale) in linear.numeric.items()}
+    start = linear.intercept - sum(slopes[c] * linear.numeric[c][1] for c in names)
+    table = spark.createDataFrame([("intercept", start), *slopes.items()], "term string, weight double")
+    return table.select("term", F.round("weight", 3).alias("weight"))
+
+
 @query("logistic_scores")
 def _logistic(spark, directory):
     rows = _prepared(spark, directory)
-    model = models.fit_logistic(_train(rows), NUMERIC, plans.CATEGORICAL_FEATURES, TARGET, max_iter=50)
+    model = models.fit_logistic(_train(rows), NUMERIC, plans.CATEGORICAL_FEATURES, TARGET)
     return models.add_probability(model, rows).select(*_KEYS, "split", TARGET, "raw_probability")
 
 
 @query("model_artifact")
 def _artifact(spark, directory):
-    """Scores of a model before it is saved and after it is loaded again, by split."""
+    """Scores of a model before it is saved and after it is loaded again, as a pipeline and as plain numbers, by split."""
     rows = _prepared(spark, directory)
-    model = models.fit_logistic(_train(rows), NUMERIC, plans.CATEGORICAL_FEATURES, TARGET, max_iter=50)
+    model = models.fit_logistic(_train(rows), NUMERIC, plans.CATEGORICAL_FEATURES, TARGET)
     fit = calibration.fit_sigmoid(models.add_probability(model, rows.filter(F.col("split") == "VALIDATION")), ScoreSpec(actual=TARGET, probability="raw_probability"))
-    path = new_path(spark, "model")
+    path, plain = new_path(spark, "model"), new_path(spark, "terms")
     save_model(model, fit, path)
-    loaded, curve = load_model(spark, path)
+    save_linear(LinearModel.from_pipeline(model, NUMERIC, plans.CATEGORICAL_FEATURES), fit, plain)
+    (loaded, curve), (linear, _) = load_model(spark, path), load_linear(spark, plain)
     scored = models.add_probability(loaded, models.add_probability(model, rows, "before"), "after")
-    same = fit.apply(F.col("before")) == curve.apply(F.col("after"))
+    scored = models.add_probability(linear, scored, "as_numbers")
+    same = (fit.apply(F.col("before")) == curve.apply(F.col("after"))) & (F.abs(F.col("as_numbers") - F.col("after")) < 1e-9)
     return scored.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(same, F.lit(False))).alias("differing"))
 
 
-_GBT = {"maxIter": 10, "maxDepth": 3}
+# Rounds are a parameter of the learner; these keep the queries short.
+_GBT = {"maxIter": 30, "maxDepth": 5, "stepSize": 0.1}
 
 
 def _boosted(rows):
@@ -213,30 +291,73 @@ def _gbt(spark, directory):
 
 @query("gbt_early_stopping")
 def _gbt_early(spark, directory):
-    rows = _prepared(spark, directory).filter(F.col("split") != "TEST")
-    marked = rows.withColumn("held_out", F.col("split") == "VALIDATION")
-    model = models.fit_gbt(marked, NUMERIC, [], TARGET, {"maxIter": 15, "maxDepth": 3, "validationTol": 0.01}, "held_out")
-    return models.add_probability(model, marked).select(*_KEYS, "split", TARGET, "raw_probability")
+    """Scores of the best prefix on the validation years, with the quality it was chosen for."""
+    rows = _prepared(spark, directory)
+    held_out = rows.filter(F.col("split") == "VALIDATION")
+    trees, staged = boosting.fit_with_patience(_train(rows), held_out, NUMERIC, [], TARGET, _GBT, patience=10)
+    scored = rows.select(*_KEYS, "split", TARGET, trees.probability().alias("raw_probability"), F.lit(trees.rounds).alias("best_round"))
+    return scored.join(F.broadcast(staged.select(F.col("round").alias("best_round"), F.col("pr_auc").alias("validation_pr_auc"))), "best_round")
+
+
+# Twelve made-up rounds: the fractional part of round * probability.
+_ROUNDS, _PATIENCE = 12, 3
+
+
+@query(
+    "early_stopping_rule",
+    final(
+        [sql.S, f"st AS (SELECT k AS round, actual, probability * k - floor(probability * k) AS p FROM s, range(1, {_ROUNDS + 1}) t(k))", sql.ranking("st", "ap", "round", "p"),
+         "q AS (SELECT round, round(pr_auc, 12) AS q, max(round(pr_auc, 12)) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM ap)",
+         "l AS (SELECT *, max(CASE WHEN best IS NULL OR q > best THEN round END) OVER (ORDER BY round) AS last FROM q)",
+         f"e AS (SELECT coalesce((SELECT min(round) FROM l WHERE round - last >= {_PATIENCE}), (SELECT max(round) FROM l)) AS stopped_at)",
+         "x AS (SELECT l.last AS best_round, (SELECT q FROM q WHERE round = l.last) AS best_quality, stopped_at FROM e JOIN l ON l.round = stopped_at)"],
+        "x", "", "best_round stopped_at", "best_quality",
+    ),
+)
+def _early_stopping_rule(spark, directory):
+    """Patience on the average precision of staged scores, all rounds ranked in one job."""
+    scored = scored_lines(spark, directory).select("actual", F.explode(F.sequence(F.lit(1), F.lit(_ROUNDS))).alias("round"), "probability")
+    product = F.col("probability") * F.col("round")
+    quality = metrics.ranking_metrics(scored.withColumn("probability", product - F.floor(product)), SCORE, ["round"])
+    return boosting.stop_early(quality.withColumn("pr_auc", F.round("pr_auc", 12)), _PATIENCE)
 
 
 @query("calibrated_policy")
 def _calibrated_policy(spark, directory):
     """Train, calibrate on validation years, choose the policy there, judge the test years."""
     rows = _prepared(spark, directory)
-    model = models.fit_logistic(_train(rows), NUMERIC, [], TARGET, max_iter=50)
+    model = models.fit_logistic(_train(rows), NUMERIC, plans.CATEGORICAL_FEATURES, TARGET)
     scored = stored(modelling.calibrated_scores(model, rows, TARGET))
     chosen = modelling.choose_policy(scored.filter(F.col("split") == "VALIDATION"))
     return chosen.select("probability_type", "threshold", "precision", "recall", "f1", "alert_rate")
 
 
-@query("batch_scoring")
+def _given_artifacts(spark) -> str:
+    """The given model with its curve, and a policy, stored as a release would have them."""
+    path = new_path(spark, "release")
+    save_linear(GIVEN, GIVEN_CURVE, f"{path}/model")
+    write_policy(spark, path, monitoring.POLICY_THRESHOLD)
+    return path
+
+
+def write_policy(spark, path: str, threshold: float) -> None:
+    row = spark.createDataFrame([(TARGET, "sigmoid_probability", threshold)], "target string, probability_type string, threshold double")
+    write_table(row, f"{path}/policy", "csv")
+
+
+@query(
+    "batch_scoring",
+    final(
+        [*_SCORED_SQL, f"""x AS (SELECT entity, month, season, year, raw_probability, sigmoid_probability, CAST(0.09 AS DOUBLE) AS policy_threshold, 'v1' AS model_version, '{TARGET}' AS target,
+  CASE WHEN sigmoid_probability >= CAST(0.09 AS DOUBLE) THEN 1 ELSE 0 END AS risk_alert, {_level_sql('CAST(0.09 AS DOUBLE)')} AS risk_level FROM cal)"""],
+        "x", "entity month season risk_level model_version target", "risk_alert", "year raw_probability sigmoid_probability policy_threshold",
+    ),
+)
 def _batch_scoring(spark, directory):
-    rows = _prepared(spark, directory)
-    model = models.fit_logistic(_train(rows), NUMERIC, [], TARGET, max_iter=50)
-    held_out = models.add_probability(model, rows.filter(F.col("split") == "VALIDATION"))
-    curve = calibration.fit_sigmoid(held_out, ScoreSpec(actual=TARGET, probability="raw_probability"))
-    policy = rows.agg(F.lit("sigmoid_probability").alias("probability_type"), F.lit(monitoring.POLICY_THRESHOLD).alias("threshold"))
-    scored = models.score_batch(model, rows, curve.slope, curve.intercept, policy, "v1", TARGET)
+    """A stored model, curve and policy applied to all rows."""
+    path = _given_artifacts(spark)
+    model, curve = load_linear(spark, f"{path}/model")
+    scored = models.score_batch(model, _prepared(spark, directory), curve.slope, curve.intercept, load_policy(spark, f"{path}/policy"), "v1", TARGET)
     return models.checked_predictions(scored).select(
         *_KEYS, "season", "raw_probability", "sigmoid_probability", "risk_alert", "risk_level", "policy_threshold", "model_version", "target"
     )
@@ -256,28 +377,49 @@ def _native(spark, directory):
     return explain.native_importance(coded, model, features)
 
 
-@query("permutation_importance")
+_REPEATS = 3
+_COPIES = ", ".join(f"({n}, '{f}', {explain._shuffled(f, 42 + r)[0]}, {explain._shuffled(f, 42 + r)[1]})" for n, (f, r) in enumerate((f, r) for f in NUMERIC for r in range(_REPEATS)))
+
+
+@query(
+    "permutation_importance",
+    final(
+        [*_PREPARED_SQL, "te AS (SELECT *, row_number() OVER (ORDER BY entity, year, month) AS i, count(*) OVER () AS n FROM pr WHERE split = 'TEST')",
+         f"cp AS (SELECT *, list_filter(range(f0, f0 + 2000, 2), lambda x: gcd(x, n) = 1)[1] AS factor FROM (VALUES (-1, '', 1, 0), {_COPIES}) AS t(copy, feature, f0, shift) CROSS JOIN (SELECT max(n) AS n FROM te))",
+         "mv AS (SELECT copy, feature, (CAST(factor AS HUGEINT) * v.i + shift) % v.n + 1 AS place, " + ", ".join(f"v.{c}" for c in NUMERIC) + " FROM cp CROSS JOIN te v)",
+         "sh AS (SELECT mv.copy, mv.feature AS moved, te.actual, te.month, te.season, " + ", ".join(f"CASE WHEN mv.feature = '{c}' THEN mv.{c} ELSE te.{c} END AS {c}" for c in NUMERIC)
+         + " FROM mv JOIN te ON te.i = mv.place)",
+         f"sc AS (SELECT copy, moved, actual, 1 / (1 + exp(-({_margin_sql()}))) AS p FROM sh)", sql.ranking("sc", "ap", "copy, moved", "p"),
+         "ls AS (SELECT moved AS feature, (SELECT pr_auc FROM ap WHERE copy < 0) - pr_auc AS loss FROM ap WHERE copy >= 0)",
+         "im AS (SELECT feature, avg(loss) AS importance_mean, stddev_pop(loss) AS importance_std FROM ls GROUP BY feature)",
+         "x AS (SELECT *, row_number() OVER (ORDER BY importance_mean DESC, feature) AS rank FROM im)"],
+        "x", "feature", "rank", "importance_mean importance_std",
+    ),
+)
 def _permutation(spark, directory):
-    rows = _prepared(spark, directory)
-    features = ["measure", "measure_3m", "zscore", "prev_6m", "month_sin"]
-    model = models.fit_logistic(_train(rows), features, [], TARGET, max_iter=30)
-    return explain.permutation_importance(model, rows.filter(F.col("split") == "TEST"), features, TARGET, _KEYS, repeats=2)
+    """All numeric features of the given model, three shuffles each, on the test years."""
+    rows = _prepared(spark, directory).filter(F.col("split") == "TEST")
+    return explain.permutation_importance(GIVEN, rows, NUMERIC, TARGET, _KEYS, repeats=_REPEATS)
 
 
-@query("linear_contributions")
+@query(
+    "linear_contributions",
+    final(
+        [*_PREPARED_SQL, "m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(abs({_term_sql(c, c)})) AS mean_abs_contribution FROM pr" for c in NUMERIC) + ")",
+         "x AS (SELECT *, row_number() OVER (ORDER BY mean_abs_contribution DESC, feature) AS rank FROM m)"],
+        "x", "feature", "rank", "mean_abs_contribution",
+    ),
+)
 def _contributions(spark, directory):
-    rows = _prepared(spark, directory)
-    model = models.fit_logistic(_train(rows), NUMERIC, [], TARGET, max_iter=50)
-    return explain.linear_contributions(model, rows, NUMERIC)
+    return explain.linear_contributions(GIVEN, _prepared(spark, directory), NUMERIC)
 
 
 @query("combined_importance")
 def _combined(spark, directory):
     rows = _prepared(spark, directory)
-    features = ["measure", "measure_3m", "zscore", "prev_6m", "month_sin"]
-    booster = models.fit_gbt(_train(rows), features, [], TARGET, _GBT)
-    linear = models.fit_logistic(_train(rows), features, [], TARGET, max_iter=30)
-    native = explain.native_importance(rows, booster, features).select("feature", "normalized_importance")
-    permuted = explain.permutation_importance(linear, rows.filter(F.col("split") == "TEST"), features, TARGET, _KEYS, repeats=1)
-    contributions = explain.linear_contributions(linear, rows, features).select("feature", "mean_abs_contribution")
+    booster = models.fit_gbt(_train(rows), NUMERIC, [], TARGET, _GBT)
+    linear = models.fit_logistic(_train(rows), NUMERIC, [], TARGET)
+    native = explain.native_importance(rows, booster, NUMERIC).select("feature", "normalized_importance")
+    permuted = explain.permutation_importance(linear, rows.filter(F.col("split") == "TEST"), NUMERIC, TARGET, _KEYS)
+    contributions = explain.linear_contributions(linear, rows, NUMERIC).select("feature", "mean_abs_contribution")
     return explain.combine_importance(native, permuted.select("feature", "importance_mean"), contributions)

@@ -6,20 +6,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from almanac.functions.calendar import SEASONS
-from almanac.operators import models
 from almanac.operators.clean import wide_to_long
 from almanac.operators.ranking import best_row
 from almanac.operators.sweep import GRID_POLICY, threshold_sweep
+from almanac.plans import monitoring
 from almanac.plans import panel as plans
 from almanac.queries import sqlparts as sql
-from almanac.queries.modelling import _prepared, _train
+from almanac.queries.modelling import _SCORED_SQL, _given_artifacts, _level_sql, _prepared, write_policy
 from almanac.queries.registry import final, query
 from almanac.session import new_path, with_row
 from almanac.sources import io
 from almanac.sources.adapters import quantity_panel, scored_events, scored_lines, table, wide_panel
 from almanac.spec import ScoreSpec
-from almanac.streaming.alerts import AlertMonitor, run_to_table, utc_instant
-from almanac.streaming.scoring import stream_score
+from almanac.streaming.alerts import AlertMonitor, utc_instant
+from almanac.streaming.scoring import StreamScorer
 
 
 # Events arrive in ten-day batches; every fortieth one comes a batch late.
@@ -54,22 +54,34 @@ def _stream_alert_rate(spark, directory):
     return windows.join(late, keys, "full").fillna(0, ["observations", "alerts", "events", "late_rows", "alert_rate", "event_rate"])
 
 
-_NUMERIC = ["measure", "measure_3m", "zscore"]
-
-
-@query("stream_scoring")
+@query(
+    "stream_scoring",
+    final(
+        [*_SCORED_SQL, f"""x AS (SELECT entity, month, season, year, outcome, CASE WHEN outcome = 'SCORED' THEN raw_probability END AS raw_probability,
+  CASE WHEN outcome = 'SCORED' THEN sigmoid_probability END AS sigmoid_probability, CASE WHEN outcome = 'SCORED' THEN CASE WHEN sigmoid_probability >= t THEN 1 ELSE 0 END END AS risk_alert,
+  CASE WHEN outcome = 'SCORED' THEN {_level_sql("t")} END AS risk_level, CASE WHEN outcome = 'REJECTED' THEN 'zscore is missing' END AS reject_reason
+  FROM (SELECT *, CASE WHEN entity = 'Brand#11' THEN 'REJECTED' ELSE 'SCORED' END AS outcome, CASE WHEN year <= 1997 THEN CAST(0.09 AS DOUBLE) ELSE CAST(0.25 AS DOUBLE) END AS t FROM cal))"""],
+        "x", "entity month season outcome risk_level reject_reason", "risk_alert", "year raw_probability sigmoid_probability",
+    ),
+)
 def _stream_scoring(spark, directory):
-    """A model trained in batch scores the same rows arriving as a stream."""
+    """A stored model scores rows that arrive in two batches; the policy changes in between."""
     rows = _prepared(spark, directory)
-    model = models.fit_logistic(_train(rows), _NUMERIC, [], plans.SEVERE_TARGET, max_iter=30)
-    path = new_path(spark, "feature-rows")
-    io.write_table(rows.select("entity", "year", "month", *_NUMERIC), path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    good, bad = stream_score(stream, model, 4.0, -3.0, 0.09, _NUMERIC, {"season": SEASONS})
-    scored = run_to_table(good, "scored").withColumn("outcome", F.lit("SCORED"))
-    rejected = run_to_table(bad, "rejected").withColumn("outcome", F.lit("REJECTED"))
-    both = scored.unionByName(rejected, allowMissingColumns=True)
-    return both.select("entity", "year", "month", "season", "raw_probability", "sigmoid_probability", "risk_alert", "risk_level", "outcome")
+    path = _given_artifacts(spark)
+    model, curve = io.load_linear(spark, f"{path}/model")
+    scorer = StreamScorer(new_path(spark, "scored"), model, curve, f"{path}/policy", plans.NUMERIC_FEATURES, {"season": SEASONS})
+    # One brand arrives without its z-score and is put aside.
+    zscore = F.when(F.col("entity") != "Brand#11", F.col("zscore"))
+    arriving = rows.withColumn("zscore", zscore).select("entity", "month", *plans.NUMERIC_FEATURES)
+    source = f"{path}/arrivals"
+    for part, threshold in ((F.col("year") <= 1997, monitoring.POLICY_THRESHOLD), (F.col("year") > 1997, 0.25)):
+        write_policy(spark, path, threshold)
+        arriving.where(part).write.mode("append").parquet(source)
+        scorer.run(spark.readStream.schema(arriving.schema).parquet(source))
+    tables = [spark.read.parquet(f"{scorer.path}/{name.lower()}").withColumn("outcome", F.lit(name)) for name in ("SCORED", "REJECTED")]
+    return tables[0].unionByName(tables[1], allowMissingColumns=True).select(
+        "entity", "year", "month", "season", "raw_probability", "sigmoid_probability", "risk_alert", "risk_level", "outcome", "reject_reason"
+    )
 
 
 @query(

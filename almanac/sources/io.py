@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from almanac.functions.calendar import MONTH_NAMES
 from almanac.operators.calibration import SigmoidFit
 from almanac.operators.clean import require_columns
+from almanac.operators.linear import TERMS, LinearModel
 from almanac.operators.models import valid_policy
 
 # Yearly totals that follow the twelve months in the wide table.
@@ -82,6 +83,21 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, SigmoidFi
     return PipelineModel.load(f"{path}/pipeline"), SigmoidFit(row["slope"], row["intercept"])
 
 
+def save_linear(model: LinearModel, fit: SigmoidFit, path: str) -> None:
+    """A linear model as a table of its terms, with its calibration as JSON."""
+    spark = SparkSession.active()
+    model.table(spark).write.mode("overwrite").parquet(f"{path}/terms")
+    write_json_artifact(spark.createDataFrame([(fit.slope, fit.intercept)], _FIT).coalesce(1), f"{path}/calibration")
+
+
+def load_linear(spark: SparkSession, path: str) -> tuple[LinearModel, SigmoidFit]:
+    """What ``save_linear`` wrote."""
+    row = spark.read.schema(_FIT).json(f"{path}/calibration").first()
+    if row is None:
+        raise ValueError(f"no calibration in {path}")
+    return LinearModel.from_table(spark.read.schema(TERMS).parquet(f"{path}/terms")), SigmoidFit(row["slope"], row["intercept"])
+
+
 def load_policy(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """The one-row policy; anything else raises when it is used."""
     reader = spark.read.format(fmt)
