@@ -124,22 +124,26 @@ def quantiles(
     probs: Sequence[float],
     out: str = "quantiles",
     bounded_keys: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one array per group, plus ``n``.
 
+    With ``weight`` a row counts as so many rows of its value.
+
     First pass: a histogram over value buckets, combined map-side. It tells which
     buckets hold the wanted ranks. Second pass: only rows of those buckets are
     counted by value and searched. The filter table has at most two rows per
     wanted quantile and group; ``bounded_keys`` states that the number of groups
     is bounded too (features, years, seasons), which makes it a broadcast.
     """
-    clean = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
+    times = F.lit(1) if weight is None else F.col(weight)
+    clean = df.select(*keys, F.col(value).cast("double").alias("_v"), times.alias("_w")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
     placed = clean.withColumn("_bucket", value_bucket(F.col("_v")))
     group = Window.partitionBy(*_over(keys))
     running = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    histogram = placed.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_n"))
     located = histogram.withColumns(
         {"_before": F.coalesce(F.sum("_n").over(running), F.lit(0)), "_total": F.sum("_n").over(group)}
     )
@@ -167,7 +171,7 @@ def quantiles(
     counts = (
         null_safe_join(placed, hits, keys, equal=["_bucket"])
         .groupBy(*keys, "_bucket", "_offset", "_total", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_w").alias("_n"))
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("_before", F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
@@ -182,7 +186,7 @@ def quantiles(
     return ends.select(*keys, F.array(*values).alias(out), F.col("_total").alias("n"))
 
 
-def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float], bounded_keys: bool = False) -> DataFrame:
+def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float], bounded_keys: bool = False, weight: str | None = None) -> DataFrame:
     """Quantiles as named columns."""
-    q = quantiles(df, keys, value, list(named.values()), bounded_keys=bounded_keys)
+    q = quantiles(df, keys, value, list(named.values()), bounded_keys=bounded_keys, weight=weight)
     return q.select(*keys, "n", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(named)])

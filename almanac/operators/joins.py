@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions.calendar import SEASONS
 
+# As many keys as a filter may hold.
+KEY_LITERALS = 1000
+
 
 def unique_on(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
     """The same rows, raising at run time when a key repeats.
@@ -111,6 +115,24 @@ def semi_filter(df: DataFrame, keys_df: DataFrame, on: Sequence[str]) -> DataFra
     return many_to_one(df, keys_df.select(*on), on, "left_semi")
 
 
+def keep_keys(df: DataFrame, keys_df: DataFrame, on: Sequence[str], literals: int = KEY_LITERALS) -> DataFrame:
+    """Rows whose key occurs in the other table, by a filter where there are few keys.
+
+    The keys are measured first: at most ``literals`` distinct ones become a set in
+    the filter, which reaches the scan, and the rows are not shuffled at all. More
+    keys than that are joined as in ``semi_filter``. NULL keys match nothing.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])
+    found = keys_df.select(*on).where(known).distinct().limit(literals + 1).collect()
+    if len(found) > literals:
+        return semi_filter(df, keys_df, on)
+    if not found:
+        return df.where(F.lit(False))
+    if len(on) == 1:
+        return df.where(F.col(on[0]).isin([row[0] for row in found]))
+    return df.where(F.struct(*on).isin([F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(on, row)]) for row in found]))
+
+
 def apply_season_threshold(
     df: DataFrame,
     thresholds: DataFrame,

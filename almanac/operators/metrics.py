@@ -3,31 +3,62 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions.scalar import rate
 from almanac.operators.distribution import prefix_sums
+from almanac.session import stored
 from almanac.spec import ScoreSpec
 
 COUNTS = ["true_positive", "false_positive", "false_negative", "true_negative"]
 
 
-def confusion_aggregates(actual: Column, alerted: Column) -> list[Column]:
+def tally(score: ScoreSpec, condition: Column | None = None) -> Column:
+    """How many rows there are, or rows of a condition; a row of a score table stands for several."""
+    if score.weight is None:
+        return F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    weight = F.col(score.weight)
+    return F.coalesce(F.sum(weight if condition is None else F.when(condition, weight)), F.lit(0))
+
+
+def mean(score: ScoreSpec, value: Column) -> Column:
+    """The mean over the rows that have a value."""
+    if score.weight is None:
+        return F.avg(value)
+    return F.try_divide(F.sum(value * F.col(score.weight)), F.sum(F.when(value.isNotNull(), F.col(score.weight))))
+
+
+def score_table(df: DataFrame, score: ScoreSpec, by: Sequence[str] = ()) -> tuple[DataFrame, ScoreSpec]:
+    """Counts per slice, outcome and distinct probability, stored, and the spec that reads them as weighted rows.
+
+    Metrics, sweeps, quantiles, bins and policies at any threshold follow from this
+    table, so one scan of the facts serves them all. A table that is weighted
+    already is returned as it is.
+    """
+    if score.weight is not None:
+        return df, score
+    counts = df.groupBy(*by, score.actual, score.probability).agg(F.count(F.lit(1)).alias("_weight"))
+    return stored(counts, "score-table"), replace(score, weight="_weight")
+
+
+def confusion_aggregates(score: ScoreSpec, alerted: Column) -> list[Column]:
     """The four cells as aggregate expressions."""
+    actual = F.col(score.actual)
     return [
-        F.count_if((actual == 1) & alerted).alias("true_positive"),
-        F.count_if((actual == 0) & alerted).alias("false_positive"),
-        F.count_if((actual == 1) & ~alerted).alias("false_negative"),
-        F.count_if((actual == 0) & ~alerted).alias("true_negative"),
+        tally(score, (actual == 1) & alerted).alias("true_positive"),
+        tally(score, (actual == 0) & alerted).alias("false_positive"),
+        tally(score, (actual == 1) & ~alerted).alias("false_negative"),
+        tally(score, (actual == 0) & ~alerted).alias("true_negative"),
     ]
 
 
 def confusion(df: DataFrame, score: ScoreSpec, threshold: float | Column, by: Sequence[str] = ()) -> DataFrame:
     """Confusion counts at a threshold (a number or a column)."""
     alerted = F.coalesce(F.col(score.probability) >= threshold, F.lit(False))
-    return df.groupBy(*by).agg(*confusion_aggregates(F.col(score.actual), alerted))
+    return df.groupBy(*by).agg(*confusion_aggregates(score, alerted))
 
 
 def binary_metrics(counts: DataFrame) -> DataFrame:
@@ -56,7 +87,7 @@ def score_counts(df: DataFrame, score: ScoreSpec, by: Sequence[str] = ()) -> Dat
     p, y = F.col(score.probability), F.col(score.actual)
     known = df.filter(p.isNotNull() & y.isNotNull())
     return known.groupBy(*by, p.cast("double").alias("_score")).agg(
-        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
+        tally(score, y == 1).alias("pos"), tally(score, y == 0).alias("neg")
     )
 
 
@@ -105,7 +136,7 @@ def roc_auc(df: DataFrame, score: ScoreSpec, by: Sequence[str] = ()) -> DataFram
 
 def brier_aggregate(score: ScoreSpec) -> Column:
     gap = F.col(score.probability) - F.col(score.actual)
-    return F.avg(gap * gap).alias("brier_score")
+    return mean(score, gap * gap).alias("brier_score")
 
 
 def brier(df: DataFrame, score: ScoreSpec, by: Sequence[str] = ()) -> DataFrame:
@@ -126,8 +157,8 @@ def metrics_by(
     p = F.col(score.probability)
     alerted = F.coalesce(p >= threshold, F.lit(False))
     counts = df.groupBy(*by).agg(
-        *confusion_aggregates(F.col(score.actual), alerted),
-        F.avg(p).alias("average_probability"),
+        *confusion_aggregates(score, alerted),
+        mean(score, p).alias("average_probability"),
         F.max(p).alias("maximum_probability"),
         brier_aggregate(score),
     )
@@ -142,7 +173,7 @@ def _metrics_with_ranking(df: DataFrame, score: ScoreSpec, threshold: float, by:
     """
     y, s = F.col(score.actual), F.col("_score")
     counts = df.groupBy(*by, F.col(score.probability).cast("double").alias("_score")).agg(
-        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), F.count(F.lit(1)).alias("_rows")
+        tally(score, y == 1).alias("pos"), tally(score, y == 0).alias("neg"), tally(score).alias("_rows")
     )
     known = s.isNotNull()
     alerted = F.coalesce(s >= threshold, F.lit(False))

@@ -15,9 +15,11 @@ from almanac.functions.calendar import CALENDAR_B, normalize_month, season
 from almanac.functions.levels import alert, inference_level
 from almanac.functions.scalar import sigmoid
 from almanac.operators.distribution import quantiles
+from almanac.operators.joins import many_to_one
 from almanac.operators.linear import LinearModel
 from almanac.operators.metrics import ranking_metrics
-from almanac.session import with_row
+from almanac.operators.ranking import order_rank
+from almanac.session import stored, with_row
 from almanac.spec import ScoreSpec
 
 
@@ -71,21 +73,29 @@ def categorical_stages(columns: Sequence[str]) -> list:
     ]
 
 
-def train_codes(train: DataFrame, columns: Sequence[str]) -> StringIndexerModel:
-    """Category codes in alphabetical order, learned on training rows only."""
-    return StringIndexer(
-        inputCols=list(columns), outputCols=[f"{c}_code" for c in columns],
-        handleInvalid="keep", stringOrderType="alphabetAsc",
-    ).fit(train)
+def train_codes(train: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
+    """A stored dictionary ``_value, <column>_code`` per column: codes in alphabetical order, learned on training rows only.
 
+    The codes are ranks of the distinct values in ordered pieces, so a column may
+    have any number of categories; none of them comes to the driver.
+    """
+    tables = {}
+    for c in columns:
+        values = train.select(F.col(c).cast("string").alias("_value")).where(F.col("_value").isNotNull()).distinct()
+        ranked = order_rank(values, "_value", [], "_rank", descending=False)
+        tables[c] = stored(ranked.select("_value", (F.col("_rank") - 1).cast("int").alias(f"{c}_code")), "codes")
+    return tables
 
-def apply_codes(df: DataFrame, codes: StringIndexerModel) -> DataFrame:
-    """Codes as integers; categories unseen in training become NULL."""
-    coded = codes.transform(df)
-    columns = dict(zip(codes.getOutputCols(), codes.labelsArray))
-    return coded.withColumns(
-        {c: F.when(F.col(c) < len(labels), F.col(c).cast("int")) for c, labels in columns.items()}
-    )
+
+def apply_codes(df: DataFrame, codes: Mapping[str, DataFrame]) -> DataFrame:
+    """Codes as integers; missing categories, and those unseen in training, have NULL.
+
+    A small dictionary is broadcast by its measured size; beyond that the join lets
+    adaptive execution split a hot category.
+    """
+    for c, table in codes.items():
+        df = many_to_one(df.withColumn("_value", F.col(c).cast("string")), table, ["_value"]).drop("_value")
+    return df
 
 
 def closed_codes(domains: Mapping[str, Sequence[str]]) -> StringIndexerModel:

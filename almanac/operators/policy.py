@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions.levels import alert, confusion_label, policy_level
 from almanac.operators.joins import apply_season_threshold, union_all
-from almanac.operators.metrics import binary_metrics, confusion, metrics_by
+from almanac.operators.metrics import binary_metrics, confusion, metrics_by, score_table
 from almanac.operators.ranking import best_row
 from almanac.operators.sweep import Grid, GridList, threshold_sweep
 from almanac.session import with_row
@@ -94,7 +94,10 @@ def season_thresholds(df: DataFrame, score: ScoreSpec, grid: Grid | GridList) ->
 
 
 def season_policy_metrics(df: DataFrame, score: ScoreSpec, thresholds: DataFrame, fallback: float | None = None) -> DataFrame:
-    """Overall metrics when every row is judged by its season's threshold."""
+    """Overall metrics when every row is judged by its season's threshold.
+
+    ``df`` may be the score table by season that the thresholds were chosen on.
+    """
     judged = apply_season_threshold(df, thresholds, fallback, score.season)
     table = binary_metrics(confusion(judged, score, F.col("season_threshold")))
     return table.withColumn("policy", F.lit("SEASON_AWARE"))
@@ -121,10 +124,24 @@ def model_comparison(df: DataFrame, actual: str, columns: Sequence[str]) -> Data
 
     The columns are unpivoted once, so one scan and one aggregation serve all.
     """
-    long = df.select(actual, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+    return compare_quality(_long(df, actual, columns), ScoreSpec(actual=actual))
+
+
+def _long(df: DataFrame, actual: str, columns: Sequence[str]) -> DataFrame:
+    """One row per probability column, told apart by type."""
+    return df.select(actual, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [actual], list(columns), "probability_type", "probability"
     )
-    table = metrics_by(long, ScoreSpec(actual=actual), FALLBACK_THRESHOLD, ["probability_type"], ranking=True)
+
+
+def probability_table(df: DataFrame, actual: str, columns: Sequence[str]) -> tuple[DataFrame, ScoreSpec]:
+    """The score table of several probability columns: comparison and sweeps of all of them from one scan."""
+    return score_table(_long(df, actual, columns), ScoreSpec(actual=actual), ["probability_type"])
+
+
+def compare_quality(long: DataFrame, score: ScoreSpec) -> DataFrame:
+    """``model_comparison`` of rows that are told apart by ``probability_type``."""
+    table = metrics_by(long, score, FALLBACK_THRESHOLD, ["probability_type"], ranking=True)
     return table.select(
         "probability_type", "observations", "events", "event_rate", "pr_auc", "roc_auc", "brier_score",
         F.col("average_probability").alias("mean_probability"), "minimum_probability", "maximum_probability",
@@ -145,10 +162,7 @@ def final_policy(quality: DataFrame, selected: DataFrame, calibrated: Sequence[s
 
 def sweep_probabilities(df: DataFrame, actual: str, columns: Sequence[str], grid: Grid | GridList) -> DataFrame:
     """One sweep over several probability columns, told apart by type."""
-    long = df.select(actual, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [actual], list(columns), "probability_type", "probability"
-    )
-    return threshold_sweep(long, ScoreSpec(actual=actual), grid, ["probability_type"])
+    return threshold_sweep(_long(df, actual, columns), ScoreSpec(actual=actual), grid, ["probability_type"])
 
 
 def policy_predictions(df: DataFrame, score: ScoreSpec, threshold: Column | float) -> DataFrame:

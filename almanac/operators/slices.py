@@ -12,7 +12,7 @@ from almanac.functions.levels import DEPLOYMENT_ORDER, deployment_level
 from almanac.functions.scalar import flag, rate
 from almanac.operators.distribution import even_steps, quantile_columns, quantiles
 from almanac.operators.joins import null_safe_join, union_all
-from almanac.operators.metrics import COUNTS, binary_metrics, confusion_aggregates, metrics_by
+from almanac.operators.metrics import COUNTS, binary_metrics, confusion_aggregates, mean, metrics_by, score_table, tally
 from almanac.operators.ranking import dense_rank_by
 from almanac.session import with_row
 from almanac.spec import ScoreSpec
@@ -83,7 +83,7 @@ def stacked_slices(df: DataFrame, score: ScoreSpec, threshold: float, slices: di
     p = F.col(score.probability)
     alerted = F.coalesce(p >= threshold, F.lit(False))
     cells = df.groupBy(*columns).agg(
-        *confusion_aggregates(F.col(score.actual), alerted),
+        *confusion_aggregates(score, alerted),
         F.sum(p).alias("_sum"), F.count(p).alias("_n"), F.max(p).alias("_max"),
     )
     kind = F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(t)) for t, c in slices.items()])
@@ -101,9 +101,11 @@ def reliability(df: DataFrame, score: ScoreSpec, bins: int = 10) -> DataFrame:
     """Observed rate against mean probability per score decile.
 
     Bins are right-closed between distinct quantiles; the first also holds the
-    minimum. Repeated quantiles merge into one bin.
+    minimum. Repeated quantiles merge into one bin. Edges and bins come from one
+    score table, so the facts are scanned once.
     """
-    edges = quantiles(df, [], score.probability, even_steps(bins))
+    df, score = score_table(df, score)
+    edges = quantiles(df, [], score.probability, even_steps(bins), weight=score.weight)
     unique = edges.select(F.array_distinct("quantiles").alias("edges"))
     placed = with_row(df.filter(F.col(score.probability).isNotNull()), unique, {"_edges": "edges"})
     position = F.lit(0)
@@ -111,9 +113,9 @@ def reliability(df: DataFrame, score: ScoreSpec, bins: int = 10) -> DataFrame:
         edge = F.get(F.col("_edges"), F.lit(i))
         position = position + flag(edge < F.col(score.probability))
     table = placed.groupBy(F.greatest(position, F.lit(1)).alias("bin")).agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.sum(score.actual).alias("events"),
-        F.avg(score.probability).alias("mean_probability"),
+        tally(score).alias("observations"),
+        tally(score, F.col(score.actual) == 1).alias("events"),
+        mean(score, F.col(score.probability)).alias("mean_probability"),
         F.min(score.probability).alias("minimum_probability"),
         F.max(score.probability).alias("maximum_probability"),
     )
@@ -186,33 +188,38 @@ def risk_distribution(df: DataFrame, score: ScoreSpec) -> DataFrame:
 
 
 def probability_summary(df: DataFrame, score: ScoreSpec, threshold: float) -> DataFrame:
-    """One row that describes the distribution of the probabilities and alerts."""
+    """One row that describes the distribution of the probabilities and alerts, from one scan."""
+    df, score = score_table(df, score)
     p = F.col(score.probability)
-    moments = df.agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.avg(p).alias("mean_probability"),
-        F.stddev_samp(p).alias("std_probability"),
+    # Deviations are summed around the mean itself, not as a difference of large sums.
+    centred = with_row(df, df.agg(mean(score, p).alias("m")), {"_m": "m"})
+    gap, known = p - F.col("_m"), tally(score, p.isNotNull())
+    moments = centred.agg(
+        tally(score).alias("observations"),
+        mean(score, p).alias("mean_probability"),
+        F.when(known > 1, F.sqrt(F.sum(gap * gap * F.col(score.weight)) / (known - 1))).alias("std_probability"),
         F.min(p).alias("minimum_probability"),
         F.max(p).alias("maximum_probability"),
         F.lit(float(threshold)).alias("policy_threshold"),
-        F.sum(flag(p >= threshold)).alias("alerts"),
+        tally(score, p >= threshold).alias("alerts"),
     ).withColumn("alert_rate", rate(F.col("alerts"), F.col("observations")))
     points = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
-    spread = quantile_columns(df, [], score.probability, {f"{k}_probability": q for k, q in points.items()})
+    spread = quantile_columns(df, [], score.probability, {f"{k}_probability": q for k, q in points.items()}, weight=score.weight)
     return with_row(moments, spread, {f"{k}_probability": f"{k}_probability" for k in points})
 
 
 def alert_stability(df: DataFrame, score: ScoreSpec, threshold: float, by: str = "year") -> DataFrame:
-    """Alerts and probability level per year (or another slice)."""
+    """Alerts and probability level per year (or another slice), from one scan."""
+    df, score = score_table(df, score, [by])
     p = F.col(score.probability)
     table = df.groupBy(by).agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.sum(flag(p >= threshold)).alias("alerts"),
-        F.avg(p).alias("mean_probability"),
+        tally(score).alias("observations"),
+        tally(score, p >= threshold).alias("alerts"),
+        mean(score, p).alias("mean_probability"),
         F.max(p).alias("maximum_probability"),
     ).withColumn("alert_rate", rate(F.col("alerts"), F.col("observations")))
     few = by in (score.year, score.month, score.season)
-    p95 = quantile_columns(df, [by], score.probability, {"p95_probability": 0.95}, bounded_keys=few).drop("n")
+    p95 = quantile_columns(df, [by], score.probability, {"p95_probability": 0.95}, bounded_keys=few, weight=score.weight).drop("n")
     return null_safe_join(table, p95, [by], "left")
 
 
@@ -244,7 +251,8 @@ def label_recent(df: DataFrame, year: str = "year", out: str = "period") -> Data
 
 
 def recent_vs_baseline(df: DataFrame, score: ScoreSpec, threshold: float) -> DataFrame:
-    """All metrics for the latest year and for all earlier years."""
+    """All metrics for the latest year and for all earlier years, from one scan."""
+    df, score = score_table(df, score, [score.year])
     labelled = label_recent(df.filter(F.col(score.year).isNotNull()), score.year)
     table = metrics_by(labelled, score, threshold, ["period"], ranking=True)
     return table.select(

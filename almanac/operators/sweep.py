@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.operators.metrics import binary_metrics
+from almanac.operators.metrics import binary_metrics, tally
 from almanac.spec import ScoreSpec
 
 
@@ -78,7 +78,7 @@ def threshold_sweep(df: DataFrame, score: ScoreSpec, grid: Grid | GridList, by:
     cells = (
         df.filter(y.isNotNull())
         .groupBy(*by, grid.passed(F.col(score.probability)).alias("_passed"))
-        .agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg"))
+        .agg(tally(score, y == 1).alias("_pos"), tally(score, y == 0).alias("_neg"))
     )
     spread = cells.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
     reached = F.col("_passed") > F.col("_t")

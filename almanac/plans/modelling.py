@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators import calibration, models, policy
 from almanac.operators.splits import split_by_years
-from almanac.operators.sweep import GRID_V4, Grid
+from almanac.operators.sweep import GRID_V4, Grid, threshold_sweep
 from almanac.spec import ScoreSpec
 
 PROBABILITIES = ["raw_probability", "isotonic_probability", "sigmoid_probability"]
@@ -37,7 +37,8 @@ def calibrated_scores(model: PipelineModel, splits: DataFrame, target: str) -> D
 
 def choose_policy(select_df: DataFrame, grid: Grid = GRID_V4) -> DataFrame:
     """The two-tier policy of the best calibrated probability, on the given rows."""
-    quality = policy.model_comparison(select_df, "actual", PROBABILITIES)
-    sweep = policy.sweep_probabilities(select_df, "actual", PROBABILITIES, grid)
+    table, score = policy.probability_table(select_df, "actual", PROBABILITIES)
+    quality = policy.compare_quality(table, score)
+    sweep = threshold_sweep(table, score, grid, ["probability_type"])
     selected = policy.select_two_tier(sweep, partition=["probability_type"])
     return policy.final_policy(quality, selected, CALIBRATED)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from almanac.functions.levels import alert, confusion_label, deployment_level
 from almanac.operators import checks, drift, slices
 from almanac.operators.joins import union_all
+from almanac.operators.metrics import score_table
 from almanac.spec import ScoreSpec
 
 # Fixed value: the alert threshold of the deployed policy.
@@ -36,7 +37,8 @@ def monitors(
     scored: DataFrame, feature_rows: DataFrame, features: Sequence[str], score: ScoreSpec = ScoreSpec(),
     threshold: float = POLICY_THRESHOLD, periods: drift.Periods = drift.Periods(),
 ) -> DataFrame:
-    """The monitor table of one scored table and one feature table."""
+    """The monitor table of one scored table and one feature table, each scanned once."""
+    scored, score = score_table(scored, score, [score.year])
     return drift.monitor_table(
         drift.psi_reference_edges(feature_rows, features, periods),
         slices.probability_summary(scored, score, threshold),

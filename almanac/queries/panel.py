@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from almanac.functions.calendar import add_months
+from almanac.functions.calendar import add_months, season_name, season_ordinal
 from almanac.operators import clean, episodes, features, joins, profiles, ranking, splits, targets
 from almanac.plans import panel as plans
 from almanac.queries import sqlparts as sql
@@ -360,7 +360,7 @@ WHERE year(l_shipdate) IN (SELECT DISTINCT year(o_orderdate) FROM orders WHERE o
 def _semi_join_years(spark, directory):
     years = table(spark, directory, "orders").filter(F.col("o_orderstatus") == "F").select(F.year("o_orderdate").alias("year")).distinct()
     lines = table(spark, directory, "lineitem").select(F.year("l_shipdate").alias("year"), "l_quantity")
-    return joins.semi_filter(lines, years, ["year"]).groupBy("year").agg(
+    return joins.keep_keys(lines, years, ["year"]).groupBy("year").agg(
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity")
     )
 
@@ -371,3 +371,15 @@ def _sorted_panel(spark, directory):
     return ranking.sort_panel(panel, ["entity", "year", "month_no"])
 
 
+
+
+@query(
+    "season_decode",
+    """SELECT l_linenumber % 5 AS code, ['WINTER', 'PRE_MONSOON', 'MONSOON', 'POST_MONSOON'][l_linenumber % 5 + 1] AS season,
+  CASE WHEN l_linenumber % 5 < 4 THEN l_linenumber % 5 END AS encoded, count(*) AS n FROM lineitem GROUP BY 1, 2, 3""",
+)
+def _season_decode(spark, directory):
+    """Season codes back to names, and names to codes again; a code outside the four has no name."""
+    lines = table(spark, directory, "lineitem").select((F.col("l_linenumber") % 5).cast("int").alias("code"))
+    named = lines.withColumn("season", season_name(F.col("code")))
+    return named.groupBy("code", "season", season_ordinal(F.col("season")).alias("encoded")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.operators import policy, slices
-from almanac.operators.metrics import metrics_by
+from almanac.operators.metrics import metrics_by, score_table
 from almanac.operators.ranking import best_row
 from almanac.operators.sweep import GRID_ALERT, GRID_FINE, GRID_POLICY, GRID_V4, threshold_sweep
 from almanac.plans.monitoring import POLICY_THRESHOLD
 from almanac.queries import sqlparts as sql
 from almanac.queries.registry import final, query
 from almanac.queries.scored import _PERIOD
+from almanac.session import stored
 from almanac.sources.adapters import scored_lines
 from almanac.spec import ScoreSpec
 
@@ -134,8 +135,9 @@ def _choose_calibration(spark, directory):
     ),
 )
 def _final_policy(spark, directory):
-    quality = policy.model_comparison(scored_lines(spark, directory), "actual", PROBABILITIES)
-    best = policy.final_policy(quality, _two_tier(spark, directory), PROBABILITIES[1:])
+    table, score = policy.probability_table(scored_lines(spark, directory), "actual", PROBABILITIES)
+    chosen = policy.select_two_tier(_rounded(threshold_sweep(table, score, GRID_V4, ["probability_type"])), partition=["probability_type"])
+    best = policy.final_policy(policy.compare_quality(table, score), chosen, PROBABILITIES[1:])
     return best.select("probability_type", "selection_rule", *_INTS.split(), *_DOUBLES.split())
 
 
@@ -145,8 +147,8 @@ _SEASON_BEST = [
 ]
 
 
-def _season_thresholds(scored):
-    sweep = threshold_sweep(scored, SCORE, GRID_ALERT, ["season"])
+def _season_thresholds(scored, score):
+    sweep = threshold_sweep(scored, score, GRID_ALERT, ["season"])
     return best_row(_rounded(sweep), [("f1", True), ("recall", True), ("precision", True), ("threshold", False)], ["season"])
 
 
@@ -170,9 +172,9 @@ _SEASON_JUDGED = [
 )
 def _season_policy_metrics(spark, directory):
     """One season is left out of the thresholds, so its rows take the mean of the others."""
-    scored = scored_lines(spark, directory)
-    thresholds = _season_thresholds(scored).filter(F.col("season") != "MONSOON")
-    return policy.season_policy_metrics(scored, SCORE, thresholds)
+    scored, score = score_table(scored_lines(spark, directory), SCORE, ["season"])
+    thresholds = stored(_season_thresholds(scored, score).filter(F.col("season") != "MONSOON"), "thresholds")
+    return policy.season_policy_metrics(scored, score, thresholds)
 
 
 @query(
@@ -188,9 +190,9 @@ def _season_policy_metrics(spark, directory):
     ),
 )
 def _policy_compare(spark, directory):
-    scored = scored_lines(spark, directory)
-    by_season = policy.season_policy_metrics(scored, SCORE, _season_thresholds(scored), fallback=policy.FALLBACK_THRESHOLD)
-    return policy.compare_policies(policy.global_policy_metrics(scored, SCORE, T), by_season)
+    scored, score = score_table(scored_lines(spark, directory), SCORE, ["season"])
+    by_season = policy.season_policy_metrics(scored, score, _season_thresholds(scored, score), fallback=policy.FALLBACK_THRESHOLD)
+    return policy.compare_policies(policy.global_policy_metrics(scored, score, T), by_season)
 
 
 @query(

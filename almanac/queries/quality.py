@@ -481,8 +481,9 @@ _READINESS = [
 
 
 def _readiness(spark, directory):
-    dataset = plans.dataset_v4(quantity_panel(spark, directory))
-    scored = scored_lines(spark, directory)
+    dataset = stored(plans.dataset_v4(quantity_panel(spark, directory)), "dataset")
+    # Checks of rows and of counts pass over these columns several times.
+    scored = stored(scored_lines(spark, directory), "scored")
     sweep = threshold_sweep(scored, SCORE, GRID_V4).withColumns({c: F.round(c, 9) for c in ("f1", "precision", "recall")})
     policy = select_two_tier(sweep)
     return union_all(

@@ -32,7 +32,11 @@ class PanelSpec:
 
 @dataclass(frozen=True)
 class ScoreSpec:
-    """A 0/1 outcome, a probability, and the columns rows can be sliced by."""
+    """A 0/1 outcome, a probability, and the columns rows can be sliced by.
+
+    ``weight`` names a column that says how many rows a row stands for, where rows
+    with equal values are counted together.
+    """
 
     actual: str = "actual"
     probability: str = "probability"
@@ -40,3 +44,4 @@ class ScoreSpec:
     season: str = "season"
     year: str = "year"
     month: str = "month"
+    weight: str | None = None
