@@ -9,6 +9,7 @@ from almanac.operators import clean, episodes, features, joins, profiles, rankin
 from almanac.plans import panel as plans
 from almanac.queries import sqlparts as sql
 from almanac.queries.registry import final, query
+from almanac.session import stored
 from almanac.sources.adapters import order_panel, quantity_panel, table
 
 SPEC = plans.SPEC
@@ -197,11 +198,12 @@ def _model_dataset(spark, directory):
 )
 def _assemble_join(spark, directory):
     """The same assembly from separate tables, by checked 1:1 joins."""
-    panel = order_panel(spark, directory)
+    # Each part is built from the panel on its own; the facts are read once.
+    panel = stored(order_panel(spark, directory), "panel")
     keys = SPEC.keys
     rain = plans.panel_features(panel).select(*keys, "measure", "measure_12m")
     anomaly = plans.standardized(panel).select(*keys, "zscore", "condition")
-    risk = plans.risk_table(panel)
+    risk = stored(plans.risk_table(panel), "risk")
     parts = [anomaly, risk.select(*keys, "dry_episode_length"), risk.select(*keys, "risk_score", "risk_level")]
     return joins.assemble(rain, parts, keys)
 
@@ -262,7 +264,7 @@ def _dataset_v4(spark, directory):
 def _dataset_v4_join(spark, directory):
     """The same dataset from a target table and a temporal table, by a checked join."""
     keys = ["entity", "year", "month"]
-    severe = plans.severe_dataset(quantity_panel(spark, directory))
+    severe = stored(plans.severe_dataset(quantity_panel(spark, directory)), "severe")
     target = severe.select(*plans.BASE_FEATURES, plans.SEVERE_TARGET)
     temporal = plans.temporal_features(severe).select(*keys, *plans.TEMPORAL_FEATURES)
     joined = joins.checked_join(target, temporal, keys, "left", "one_to_one")

@@ -538,3 +538,97 @@ def _season_unknown(spark, directory):
     return summary.select("season", "observations", "events", "average_probability")
 
 
+
+
+# The deployed table with damage of every kind the checks look for, chosen by the keys.
+_DAMAGE = {
+    "region": "CASE WHEN l_orderkey % 50 <> 0 THEN region END",
+    "year": "CASE WHEN l_orderkey % 97 = 0 THEN 3000 ELSE year END",
+    "month": "CASE l_linenumber WHEN 7 THEN 0 WHEN 6 THEN 13 ELSE month END",
+    "season": "CASE WHEN l_orderkey % 11 = 0 THEN 'UNKNOWN' WHEN l_orderkey % 13 = 0 THEN 'AUTUMN' ELSE season END",
+    "risk_probability": "CASE WHEN l_orderkey % 17 = 0 THEN NULL WHEN l_orderkey % 19 = 0 THEN CAST(1.5 AS DOUBLE) WHEN l_orderkey % 23 = 0 THEN CAST(-0.25 AS DOUBLE) ELSE probability END",
+    "policy_threshold": "CASE WHEN l_orderkey % 29 = 0 THEN CAST(2 AS DOUBLE) ELSE CAST(0.09 AS DOUBLE) END",
+    "risk_alert": "CASE WHEN probability >= CAST(0.09 AS DOUBLE) AND l_orderkey % 31 <> 0 THEN 1 ELSE 0 END",
+}
+_DAMAGED = [
+    sql.S,
+    "dm AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f"{c_sql} AS {c}" for c, c_sql in _DAMAGE.items()) + " FROM s)",
+    f"""fx AS (SELECT *, CASE WHEN month BETWEEN 1 AND 12 THEN {sql.season_case('month', 'B')} ELSE 'UNKNOWN' END AS derived, month NOT BETWEEN 1 AND 12 AS bad_month,
+  CASE WHEN risk_probability >= policy_threshold THEN 1 ELSE 0 END AS expected FROM dm)""",
+    """f AS (SELECT count(*) AS n, count(*) FILTER (WHERE region IS NULL) AS no_key, count(*) FILTER (WHERE bad_month) AS bad_months, count(*) FILTER (WHERE month = 0) AS zeros,
+  (SELECT string_agg(CAST(month AS VARCHAR), ', ' ORDER BY month) FROM (SELECT DISTINCT month FROM fx WHERE bad_month)) AS listed,
+  count(*) FILTER (WHERE year > 2100) AS bad_years, count(*) FILTER (WHERE season = 'UNKNOWN') AS unknown,
+  count(*) FILTER (WHERE season IN ('UNKNOWN', 'AUTUMN')) AS outside, count(*) FILTER (WHERE season <> derived) AS wrong,
+  avg(CASE WHEN region IS NULL THEN 1 ELSE 0 END) AS m_region, avg(CASE WHEN risk_probability IS NULL THEN 1 ELSE 0 END) AS m_p,
+  count(*) FILTER (WHERE risk_probability IS NULL) AS null_p, count(*) FILTER (WHERE risk_probability NOT BETWEEN 0 AND 1) AS outside_p, min(risk_probability) AS plo, max(risk_probability) AS phi,
+  count(*) FILTER (WHERE policy_threshold > 1) AS bad_t, count(*) FILTER (WHERE risk_alert <> expected) AS wrong_alerts, avg(risk_alert) AS alert_rate FROM fx)""",
+    "kf AS (SELECT count(*) FILTER (WHERE n > 1) AS groups FROM (SELECT l_orderkey, region, count(*) AS n FROM dm GROUP BY ALL))",
+    "checks AS (" + " UNION ALL ".join([
+        _row("KEY STRUCTURE", "'STRICT NULL KEY ROWS'", _ok("no_key = 0"), "'rate=' || printf('%.6f', CAST(no_key AS DOUBLE) / n)"),
+        _row("KEY STRUCTURE", "'STRICT UNIQUE KEY'", _ok("groups = 0"), "'groups=' || groups", source="kf"),
+        _row("KEY STRUCTURE", "'STRICT INVALID MONTH ROWS'", _ok("bad_months = 0"), "bad_months"),
+        _row("KEY STRUCTURE", "'LOOSE NULL KEY ROWS'", _ok("no_key = 0", "REVIEW"), "'rate=' || printf('%.6f', CAST(no_key AS DOUBLE) / n)"),
+        _row("KEY STRUCTURE", "'LOOSE UNIQUE KEY'", _ok("groups = 0", "REVIEW"), "'groups=' || groups", source="kf"),
+        _row("KEY STRUCTURE", "'LOOSE INVALID MONTH ROWS'", _ok("bad_months = 0", "REVIEW"), "bad_months"),
+        _row("TEMPORAL", "'DAMAGED YEAR VALIDITY'", _ok("bad_years = 0"), "bad_years"), _row("TEMPORAL", "'DAMAGED YEAR RANGE'", _ok("bad_years = 0"), "''"),
+        _row("MONTH", "'INVALID MONTH COUNT'", _ok("bad_months = 0"), "bad_months"),
+        _row("MONTH", "'INVALID MONTH RATE'", _ok("bad_months = 0"), "printf('%.6f', CAST(bad_months AS DOUBLE) / n)"),
+        _row("MONTH", "'INVALID MONTH VALUES'", _ok("bad_months = 0"), "listed"), _row("MONTH", "'MONTH ZERO RECORDS'", _ok("zeros = 0"), "zeros"),
+        _row("SEASON", "'UNKNOWN SEASONS'", _ok("unknown = 0"), "unknown"), _row("SEASON", "'SEASON DOMAIN'", _ok("outside = 0"), "outside"),
+        _row("SEASON", "'MONTH SEASON CONSISTENCY'", _ok("wrong = 0"), "wrong"),
+        _row("MISSING VALUES", "'DAMAGED MISSING VALUE RATE'", _ok("m_region = 0 AND m_p = 0", "REVIEW"), "printf('%.6f', greatest(m_region, m_p))", "CASE WHEN m_region >= m_p THEN 'region' ELSE 'risk_probability' END"),
+        _row("PROBABILITY", "'PROBABILITY COLUMN'", "'PASS'", "'risk_probability'"), _row("PROBABILITY", "'PROBABILITY NULL'", _ok("null_p = 0"), "null_p"),
+        _row("PROBABILITY", "'PROBABILITY RANGE'", _ok("outside_p = 0"), "outside_p"), _row("PROBABILITY", "'PROBABILITY MINIMUM'", "'PASS'", "printf('%.6f', plo)"),
+        _row("PROBABILITY", "'PROBABILITY MAXIMUM'", "'PASS'", "printf('%.6f', phi)"),
+        _row("POLICY", "'POLICY THRESHOLD'", _ok("bad_t = 0"), "'column=risk_probability'"), _row("POLICY", "'POLICY ALERT CONSISTENCY'", _ok("wrong_alerts = 0"), "wrong_alerts"),
+        _row("POLICY", "'ALERT RATE'", _ok("alert_rate BETWEEN 0.01 AND 0.5", "REVIEW"), "printf('%.6f', alert_rate)"),
+    ]) + ")",
+]
+
+
+@query("damaged_quality_checks", final(_DAMAGED, "checks", _CHECK_COLUMNS))
+def _damaged_quality(spark, directory):
+    """Every check on a table that gives it something to find."""
+    scored = scored_lines(spark, directory).select("l_orderkey", "l_linenumber", *[F.expr(expression).alias(c) for c, expression in _DAMAGE.items()])
+    damaged, keys = stored(scored, "damaged"), ["l_orderkey", "region"]
+    return union_all(
+        checks.key_checks("STRICT", damaged, keys, "month", strict=True),
+        checks.key_checks("LOOSE", damaged, keys, "month", strict=False),
+        checks.one_pass(
+            damaged, checks.temporal_family("DAMAGED"), checks.month_family(damaged), checks.season_family(),
+            checks.missing_family("DAMAGED", damaged.columns), checks.probability_family("risk_probability"),
+            checks.policy_family("risk_probability", "policy_threshold", "risk_alert"),
+        ),
+    )
+
+
+@query(
+    "damaged_repair_checks",
+    final(
+        [sql.G,
+         """d AS (SELECT CASE WHEN entity <> 'FRANCE' THEN entity END AS entity, CASE WHEN year <> 1995 THEN year END AS year, CASE WHEN month_no = 4 AND entity = 'CHINA' THEN 14 ELSE month_no END AS month,
+  CASE WHEN entity = 'BRAZIL' THEN 'UNKNOWN' WHEN entity = 'EGYPT' THEN 'AUTUMN' WHEN entity = 'INDIA' THEN NULL ELSE """ + sql.season_case("month_no", "A") + """ END AS season FROM g)""",
+         f"""f AS (SELECT count(*) AS n, (SELECT count(*) + 1 FROM g) AS expected, count(*) FILTER (WHERE month NOT BETWEEN 1 AND 12) AS bad, count(*) FILTER (WHERE season = 'UNKNOWN') AS unknown,
+  count(*) FILTER (WHERE season = 'AUTUMN' OR season = 'UNKNOWN') AS outside, string_agg(DISTINCT season, ',' ORDER BY season) FILTER (WHERE season NOT IN ('AUTUMN', 'UNKNOWN')) AS seasons,
+  count(*) FILTER (WHERE season IS DISTINCT FROM coalesce({sql.season_case('month', 'B')}, 'UNKNOWN')) AS wrong, count(*) FILTER (WHERE entity IS NULL) AS no_entity,
+  count(*) FILTER (WHERE year IS NULL) AS no_year FROM d)""",
+         "sp AS (SELECT sum(n - 1) AS surplus FROM (SELECT count(*) AS n FROM d GROUP BY entity, year, month))",
+         "checks AS (" + " UNION ALL ".join([
+             _row("REPAIR", "'ROW_COUNT'", _ok("n = expected"), "n"), _row("REPAIR", "'MONTH_RANGE'", _ok("bad = 0"), "bad"),
+             _row("REPAIR", "'UNKNOWN_SEASON'", _ok("unknown = 0"), "unknown"), _row("REPAIR", "'SEASON_DOMAIN'", _ok("outside = 0"), "seasons"),
+             _row("REPAIR", "'MONTH_SEASON_CONSISTENCY'", _ok("wrong = 0"), "wrong"), _row("REPAIR", "'ENTITY_NULL'", _ok("no_entity = 0"), "no_entity"),
+             _row("REPAIR", "'YEAR_NULL'", _ok("no_year = 0"), "no_year"),
+             _row("REPAIR", "'ENTITY_YEAR_MONTH_DUPLICATES'", _ok("surplus = 0", "REVIEW"), "CAST(surplus AS BIGINT)", source="sp"),
+         ]) + ")"],
+        "checks", _CHECK_COLUMNS,
+    ),
+)
+def _damaged_repair(spark, directory):
+    panel = order_panel(spark, directory)
+    name = F.when(F.col("entity") == "BRAZIL", "UNKNOWN").when(F.col("entity") == "EGYPT", "AUTUMN").when(F.col("entity") != "INDIA", season(F.col("month_no"), CALENDAR_A))
+    damaged = panel.select(
+        F.when(F.col("entity") != "FRANCE", F.col("entity")).alias("entity"), F.when(F.col("year") != 1995, F.col("year")).alias("year"),
+        F.when((F.col("month_no") == 4) & (F.col("entity") == "CHINA"), 14).otherwise(F.col("month_no")).alias("month"), name.alias("season"),
+    )
+    table_ = stored(damaged, "damaged")
+    return checks.repair_checks(table_, table_.agg(F.count(F.lit(1)) + 1).scalar(), "entity")
