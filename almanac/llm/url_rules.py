@@ -2,8 +2,9 @@
 
 A pattern rule names literal tokens that every URL it matches contains. Of these
 the one that fewest pages have is its key; the tokens of a URL fetch the rules
-whose key they are, and only those run their regular expression. A rule that
-matches inside longer tokens has no key, and is tried on every URL.
+whose key they are, and only those run their regular expression. Patterns of
+the given rules delimit their tokens on both sides, so all of them have a key; a
+caller's rule without tokens is tried on every URL.
 """
 
 from __future__ import annotations
@@ -40,22 +41,28 @@ HOST_RULES = (
     HostRule("allow", "org", "/fr/"),
 )
 
+# What stands before and after a token in a pattern: a sign that no token holds, or an end of the URL.
+_START, _END = "(^|[^a-z0-9])", "([^a-z0-9]|$)"
+# The same inside the host.
+_HOST = "://([^/?#]*[^a-z0-9/?#])?"
+
 # Patterns see the lower-cased URL: hosts that sell, bet, track or show adult matter, and pages without an article.
 PATTERN_RULES = (
     PatternRule("pills", ("cheap", "pills"), r"://([^/?#]*[.])?cheap-pills[.]"),
-    PatternRule("pharmacy", (), r"://[^/?#]*online-pharmacy"),
+    PatternRule("pharmacy", ("online", "pharmacy"), f"{_HOST}online-pharmacy{_END}"),
     PatternRule("casino", ("casino", "win"), r"://([^/?#]*[.])?casino-win[.]"),
-    PatternRule("casino_bonus", (), r"casino-bonus"),
+    PatternRule("casino_bonus", ("casino", "bonus"), f"{_START}casino-bonus{_END}"),
     PatternRule("bets", ("free", "bets"), r"://([^/?#]*[.])?free-bets[.]"),
-    PatternRule("sports_bets", (), r"sports-bets"),
+    PatternRule("sports_bets", ("sports", "bets"), f"{_START}sports-bets{_END}"),
     PatternRule("ads", ("ads", "track"), r"://([^/?#]*[.])?ads-track[.]"),
-    PatternRule("click", (), r"://[^/?#]*click-tracker"),
+    PatternRule("click", ("click", "tracker"), f"{_HOST}click-tracker{_END}"),
     PatternRule("spam", ("spam", "farm"), r"://([^/?#]*[.])?spam-farm[.]"),
-    PatternRule("links", (), r"://[^/?#]*link-farm"),
+    PatternRule("links", ("link", "farm"), f"{_HOST}link-farm{_END}"),
     PatternRule("adult", ("adult", "x"), r"://([^/?#]*[.])?adult-x[.]"),
-    PatternRule("adult_video", (), r"adult-videos"),
-    PatternRule("crack", (), r"keygen.*download|download.*keygen"),
-    PatternRule("cart", ("cart",), r"/cart/checkout"),
+    PatternRule("adult_video", ("adult", "videos"), f"{_START}adult-videos{_END}"),
+    PatternRule("keygen", ("keygen", "download"), f"{_START}keygen[^a-z0-9](.*[^a-z0-9])?download{_END}"),
+    PatternRule("download", ("keygen", "download"), f"{_START}download[^a-z0-9](.*[^a-z0-9])?keygen{_END}"),
+    PatternRule("cart", ("cart", "checkout"), f"/cart/checkout{_END}"),
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
