@@ -55,6 +55,12 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, wherever it is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def with_row(df: DataFrame, one_row: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Attach columns of a one-row table as a scalar subquery (no join).
 
