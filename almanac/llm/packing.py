@@ -23,8 +23,8 @@ LIMIT = 4096
 END_ID = 1
 # Pieces that one task packs together; how many such lots there are follows from the input.
 LOT = 20_000
-# A task keeps the ids of the short words of late, between one and two times so many.
-_CACHED_WORDS, _CACHED_LENGTH = 500_000, 40
+# A task keeps the ids of the short words of late, between one and two times so many: about 200 bytes each.
+CACHED_WORDS, _CACHED_LENGTH = 500_000, 40
 _LETTERS = re.compile(r"([A-Za-z]+)([!#$%&*,.:;?]*)")
 _caches: dict[str, tuple] = {}
 
@@ -55,7 +55,7 @@ def _encode(words: list[str], tokenizer, known: dict[str, bytes]) -> None:
     known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(whole, encoded))
 
 
-def token_ids(text: str | None, path: str) -> bytes:
+def token_ids(text: str | None, path: str, cached: int = CACHED_WORDS) -> bytes:
     """Ids as little-endian unsigned 32-bit numbers, without special tokens; none for null.
 
     For tokenizers that lower the case, drop white space and end a token where
@@ -74,23 +74,26 @@ def token_ids(text: str | None, path: str) -> bytes:
     for w in new:
         if len(w) > _CACHED_LENGTH:
             known.pop(w, None)
-    if len(known) > _CACHED_WORDS:
+    if len(known) > cached:
         _caches[path] = (tokenizer, {}, known)
     return ids
 
 
-def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(
+    docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID, id_column: str = "doc_id", text: str = "text", cached: int = CACHED_WORDS
+) -> DataFrame:
     """``id_column, piece, start, length, ids_crc32``: each document's ids and the end id, cut only beyond ``limit``.
 
     A null or empty text gives one piece that holds the end id. Repeated rows
-    are packed as often as they occur. Other columns are ignored.
+    are packed as often as they occur. Other columns are ignored. ``cached`` words
+    are remembered by a task: fewer save memory, more save time.
     """
     closing = np.array([end_id], "<u4").tobytes()
 
     def compute(part: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
         for key, value in zip(part["id"], part["text"]):
-            ids = token_ids(value, path) + closing
+            ids = token_ids(value, path, cached) + closing
             for number, at in enumerate(range(0, len(ids), 4 * limit)):
                 own = ids[at : at + 4 * limit]
                 for column, x in zip(out.values(), (key, number, at // 4, len(own) // 4, zlib.crc32(own))):

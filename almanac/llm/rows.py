@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 SLICE = 256
 # Bytes that Spark sends to a Python worker at once; its default of 64 MB is held several times over by every task.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
